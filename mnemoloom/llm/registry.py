@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each define QUERIES and ORACLE_SQL.
-MODULES = ("q_chat", "q_secrets", "q_quality")
+MODULES = ("q_chat", "q_secrets", "q_quality", "q_bpe", "q_packing")
 
 
 def _merged(name: str) -> dict:
