@@ -157,6 +157,20 @@ class Automaton:
         return out
 
 
+class _Words(dict):
+    """Packed ids by pre-split word; a new word is encoded once."""
+
+    def __init__(self, automaton: Automaton):
+        self.automaton = automaton
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self.automaton.encode(word.encode("utf-8")))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        packed = self[word] = ids.tobytes()
+        return packed
+
+
 class Codec:
     """Texts to packed ids (little-endian unsigned 32-bit) and back, with special strings as single ids."""
 
@@ -170,22 +184,12 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.labels = dict(labels) | {i: s.encode() for s, i in self.special.items()}
-        self.cache: dict[str, bytes] = {}
-        self.max_cached = max_cached
-
-    def _make(self, word: str) -> bytes:
-        ids = array("I", self.automaton.encode(word.encode("utf-8")))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        packed = self.cache[word] = ids.tobytes()
-        return packed
+        self.words, self.max_cached = _Words(self.automaton), max_cached
 
     def _plain(self, text: str) -> bytes:
-        cache = self.cache
-        if len(cache) > self.max_cached:
-            cache.clear()
-        get, make = cache.get, self._make
-        return b"".join([get(w) or make(w) for w in (_WORD if _ODD.search(text) else _FAST).findall(text)])
+        if len(self.words) > self.max_cached:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, (_WORD if _ODD.search(text) else _FAST).findall(text)))
 
     def encode(self, text: str) -> bytes:
         """Packed ids of ``text``; none for an empty one."""

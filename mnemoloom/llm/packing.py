@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoloom.llm.batches import by_bytes
+from mnemoloom.llm.bpe import byte_alphabet
 from mnemoloom.session import stash
 
 CAPACITY = 2048
@@ -37,9 +38,11 @@ CAPACITY = 2048
 SHARD = 40_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
-_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Letters whose small form is one of them.
+_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 #: Characters beyond which, and strings at which, a text is left to the tokenizer as a whole.
-_WHOLE = re.compile(rf"[^\t-\r\x20-\x7f{_LATIN}‐-‧]|<\|")
+_FOREIGN = re.compile(rf"[^\t-\r\x20-\x7f{_LATIN}‐-‧]")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
 
 
@@ -50,6 +53,21 @@ def little_endian(ids: list[int]) -> bytes:
     return packed.tobytes()
 
 
+class _Words(dict):
+    """Packed ids by word; a new word goes through the tokenizer's model once."""
+
+    def __init__(self, model):
+        self.model = model
+        stand_in = {b: c for c, b in byte_alphabet().items()}
+        #: Letters and marks beyond ASCII as the stand-ins of their UTF-8 bytes.
+        self.bytes = {c: "".join(stand_in[b] for b in chr(c).encode()) for c in (*range(0xC0, 0x180), *range(0x2010, 0x2028))}
+
+    def __missing__(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.translate(self.bytes)
+        packed = self[word] = little_endian([t.id for t in self.model.tokenize(mapped)])
+        return packed
+
+
 class WordTokenizer:
     """The tokenizer of ``path`` with its words remembered: texts of Latin letters are split here, each new word encoded once."""
 
@@ -60,31 +78,15 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cache: dict[str, bytes] = {}
-        self.max_cached = max_cached
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [little_endian(e.ids) for e in batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > self.max_cached:
-            self.cache.clear()
-        cache, words, whole = self.cache, {}, []
-        for i, text in enumerate(texts):
-            if _WHOLE.search(text):
-                whole.append(i)
-            else:
-                words[i] = _WORD.findall(text.lower())
-        new: set[str] = set()
-        for ws in words.values():
-            new.update(set(ws).difference(cache))
-        fresh = list(new)
-        cache.update(zip(fresh, self._packed(fresh)))
-        out = dict(zip(whole, self._packed([texts[i] for i in whole])))
-        get = cache.__getitem__
-        return [out[i] if i in out else b"".join(map(get, words[i])) for i in range(len(texts))]
+        self.words, self.max_cached = _Words(self.tokenizer.model), max_cached
+
+    def encode(self, text: str) -> bytes:
+        """Ids of ``text`` as little-endian unsigned 32-bit integers."""
+        if "<|" in text or _CONTROL.search(text) or not text.isascii() and _FOREIGN.search(text):
+            return little_endian(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if len(self.words) > self.max_cached:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, _WORD.findall(text.lower())))
 
 
 @lru_cache(maxsize=2)
@@ -100,16 +102,16 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         words = tokenizer(path)
         for frame in frames:
             out: list[tuple] = []
-            for doc, packed in zip(frame["__key"], words.encode(frame["__text"].tolist())):
+            for doc, packed in zip(frame["__key"], map(words.encode, frame["__text"])):
                 view = memoryview(packed + end)
                 for k, at in enumerate(range(0, len(view), 4 * capacity)):
                     part = view[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield made.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = by_bytes(docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")))
-    return rows.mapInPandas(run, PIECES)
+    rows = by_bytes(docs.select(F.col(key).cast("string").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")))
+    made = rows.mapInPandas(run, PIECES.replace("doc_id bigint", "doc_id string"))
+    return made.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:

@@ -38,8 +38,9 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 "decoded_sha256": [hashlib.sha256(bpe.decode(p).encode("utf-8")).hexdigest() for p in packed],
             })
 
-    rows = by_bytes(docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")))
-    return rows.mapInPandas(run, f"{key} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    rows = by_bytes(docs.select(F.col(key).cast("string").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")))
+    made = rows.mapInPandas(run, f"{key} string, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return made.withColumn(key, F.col(key).cast(dict(docs.dtypes)[key]))
 
 
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
