@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each define QUERIES and ORACLE_SQL.
-MODULES = ("q_chat", "q_secrets", "q_quality", "q_bpe", "q_packing", "q_fingerprint", "q_language", "q_neardup", "q_warc")
+MODULES = ("q_chat", "q_secrets", "q_quality", "q_bpe", "q_packing", "q_fingerprint", "q_language", "q_neardup", "q_warc", "q_html")
 
 
 def _merged(name: str) -> dict:
