@@ -41,50 +41,70 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _gamma_quantiles(levels: int = 1 << 16) -> np.ndarray:
+    """Gamma(2, 1) at the middles of ``levels`` equal shares of probability, by bisection of 1 - (1 + x) e^-x."""
+    p = (np.arange(levels) + 0.5) / levels
+    low, high = np.zeros(levels), np.full(levels, 40.0)
+    for _ in range(60):
+        mid = (low + high) / 2
+        below = 1 - (1 + mid) * np.exp(-mid) < p
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
+
+
+class _Rows(dict):
+    """Places of pairs in the table: a word by itself has weight 1. New keys wait in ``new`` for their draws."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key):
+        at = self[key] = len(self)
+        self.new.append((key, 1) if isinstance(key, str) else key)
+        return at
+
+
 class Sampler:
     """Fingerprints of texts, with the rows of (word, weight) pairs remembered up to ``max_rows``."""
 
-    def __init__(self, samples: int = SAMPLES, seed: int = 1, max_rows: int = 120_000):
+    def __init__(self, samples: int = SAMPLES, seed: int = 1, max_rows: int = 250_000):
         self.samples, self.max_rows = samples, max_rows
-        draws = np.arange(5 * samples, dtype=np.uint64) + np.uint64(seed << 20)
-        self.salt = _mixed(draws * np.uint64(0x9E3779B97F4A7C15)).reshape(5, samples)
-        self.rows: dict = {}
+        self.salt = _mixed((np.arange(samples, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(0x9E3779B97F4A7C15))
+        gamma = _gamma_quantiles()
+        self.gamma, self.log_gamma = gamma.astype(np.float32), np.log(gamma).astype(np.float32)
+        self.rows = _Rows()
         self.table = np.empty((1024, samples), dtype=np.uint64)
 
     def _draw(self, pairs: list[tuple[str, int]]) -> np.ndarray:
-        """Rows of new (word, weight) pairs."""
+        """Rows of new (word, weight) pairs; one hash for each sample yields r, c and b, 16 bits each."""
         h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w, _ in pairs], dtype=np.uint64)[:, None]
-        uniform = lambda j: ((_mixed(h ^ self.salt[j]) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        r = -np.log(uniform(0) * uniform(1))
-        c = -np.log(uniform(2) * uniform(3))
-        b = uniform(4)
-        t = np.floor(np.log(np.array([w for _, w in pairs], dtype=np.float64))[:, None] / r + b)
-        a = (np.log(c) - r * (t - b) - r).astype(np.float32)
-        bits = a.view(np.uint32)
-        ordered = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(0x80000000)).astype(np.uint64)
-        sample = _mixed(h + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFF)
+        bits, low = _mixed(h ^ self.salt), np.uint64(0xFFFF)
+        r, log_c = self.gamma[bits & low], self.log_gamma[bits >> np.uint64(16) & low]
+        b = ((bits >> np.uint64(32) & low).astype(np.float32) + np.float32(0.5)) / np.float32(65536)
+        t = np.floor(np.log(np.array([w for _, w in pairs], dtype=np.float64)).astype(np.float32)[:, None] / r + b)
+        a = log_c - r * (t - b) - r
+        order = a.view(np.uint32)
+        ordered = np.where(order >> np.uint32(31), ~order, order | np.uint32(0x80000000)).astype(np.uint64)
+        sample = _mixed(h + t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & low
         return ordered << np.uint64(16) | sample
 
     def signatures(self, texts: list[str]) -> np.ndarray:
         """One row of 16-bit samples for each text; zeros where there is no word."""
         if len(self.rows) > self.max_rows:
             self.rows.clear()
-        rows, picked, sizes, new = self.rows, [], [], []
+        rows, picked, sizes = self.rows, [], []
         for text in texts:
             counts = Counter(text.split())
             sizes.append(len(counts))
-            for pair in counts.items():
-                key = pair[0] if pair[1] == 1 else pair
-                if (at := rows.get(key)) is None:
-                    at = rows[key] = len(rows)
-                    new.append(pair)
-                picked.append(at)
+            picked += map(rows.__getitem__, [w if n == 1 else (w, n) for w, n in counts.items()])
+        new, rows.new = rows.new, []
+        picked = np.array(picked, dtype=np.int64)
         if len(rows) > len(self.table):
             grown = np.empty((max(len(rows), 2 * len(self.table)), self.samples), dtype=np.uint64)
             grown[: len(rows) - len(new)] = self.table[: len(rows) - len(new)]
             self.table = grown
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        for at in range(0, len(new), 512):
+            part = new[at : at + 512]
             first = len(rows) - len(new) + at
             self.table[first : first + len(part)] = self._draw(part)
         out = np.zeros((len(texts), self.samples), dtype=np.uint16)
