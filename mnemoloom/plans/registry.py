@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from mnemoloom.plans import base
+
+MODULES = ("relational",)
+
+
+def _loaded() -> None:
+    for module in MODULES:
+        importlib.import_module(f"mnemoloom.plans.{module}")
+
 
 def queries() -> dict:
-    return {}
+    _loaded()
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _loaded()
+    return dict(base.ORACLES)
