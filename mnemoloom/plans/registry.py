@@ -6,7 +6,7 @@ import importlib
 
 from mnemoloom.plans import base
 
-MODULES = ("relational",)
+MODULES = ("relational", "scalars", "vectors")
 
 
 def _loaded() -> None:
