@@ -6,7 +6,7 @@ import importlib
 
 from mnemoloom.plans import base
 
-MODULES = ("relational", "scalars", "vectors")
+MODULES = ("relational", "scalars", "vectors", "events", "graphs")
 
 
 def _loaded() -> None:
