@@ -6,7 +6,7 @@ import importlib
 
 from mnemoloom.plans import base
 
-MODULES = ("relational", "scalars", "vectors", "events", "graphs")
+MODULES = ("relational", "scalars", "vectors", "events", "graphs", "geometry")
 
 
 def _loaded() -> None:
