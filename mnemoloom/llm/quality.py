@@ -63,10 +63,8 @@ def n_repeat_words(words: Column) -> Column:
     Windows become 64-bit hashes. A text whose hashes are all distinct is done; else (hash, place) pairs are sorted, equal
     neighbours are the repeated windows, and one fold over their sorted places adds the words that each newly covers.
     """
-    windows = F.transform(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))),
-        lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)),
-    )
+    def windows(w: Column) -> Column:
+        return F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
 
     def covered(hashes: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -86,7 +84,8 @@ def n_repeat_words(words: Column) -> Column:
             lambda a: a["n"],
         )
 
-    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
+    # bound, so that no rewrite of the plan puts the split inside the function over its words
+    return let(let(words, windows), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
 
 
 @dataclass(frozen=True)
@@ -172,21 +171,20 @@ def with_words(df: DataFrame, text: str = "text") -> DataFrame:
 def plan_cascade(df: DataFrame, text: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """Rules with their measured (rejection rate, seconds), best rejection per cost first.
 
-    The sample is at most ``sample_rows`` rows, whatever the table's size; it decides the order alone, never a verdict.
+    The sample is at most ``sample_rows`` rows, whatever the table's size, taken from as few partitions as hold them; it
+    decides the order alone, never a verdict.
     Equal scores keep the given order, and a table without rows keeps it as a whole.
     """
-    sample = with_words(df.select(F.col(text).alias("text")).limit(sample_rows)).cache()
-    try:
-        if not sample.count():
-            return [(rule, 0.0, 0.0) for rule in rules]
-        features, found = Lazy(F.col("text"), F.col(f"{P}words")), []
-        for rule in rules:
-            began = time.perf_counter()
-            rate = sample.agg(F.avg(rule.fails(features).cast("double"))).first()[0]
-            found.append((rule, rate, max(time.perf_counter() - began, 1e-6)))
-        return sorted(found, key=lambda x: -x[1] / x[2])
-    finally:
-        sample.unpersist()
+    rows = df.select(F.col(text).cast("string").alias("text")).take(sample_rows)
+    if not rows:
+        return [(rule, 0.0, 0.0) for rule in rules]
+    sample = df.sparkSession.createDataFrame([(r["text"],) for r in rows], "text string")
+    features, found = Lazy(F.col("text"), words_of(F.col("text"))), []
+    for rule in rules:
+        began = time.perf_counter()
+        rate = sample.agg(F.avg(rule.fails(features).cast("double"))).first()[0]
+        found.append((rule, rate, max(time.perf_counter() - began, 1e-6)))
+    return sorted(found, key=lambda x: -x[1] / x[2])
 
 
 def filter_quality(df: DataFrame, text: str = "text", rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
