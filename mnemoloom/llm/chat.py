@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemoloom.llm.quality import let
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Turns in a block.
 BLOCK = 32
@@ -75,9 +77,9 @@ def fold(events: DataFrame, block: int = BLOCK) -> DataFrame:
         "bound", F.array_max(F.transform(F.filter("forks", lambda f: f["fb"] < F.col("block")), lambda f: f["seq"]))
     )
 
-    def survivors(turn: Column, i: Column) -> Column:
-        before = F.array_max(F.transform(F.slice(F.col("turns"), F.lit(1), i), lambda t: t["fork"]))
-        bound = F.greatest(F.col("bound"), before)
+    def survivors(turns: Column, outer: Column, turn: Column, i: Column) -> Column:
+        before = F.array_max(F.transform(F.slice(turns, F.lit(1), i), lambda t: t["fork"]))
+        bound = F.greatest(outer, before)
         live = F.filter(turn["log"], lambda e: bound.isNull() | (e["seq"] > bound))
         whole = F.transform(F.filter(live, lambda e: e["kind"] == "message"), lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text")))
         parts = F.filter(live, lambda e: e["kind"] != "message")
@@ -90,7 +92,8 @@ def fold(events: DataFrame, block: int = BLOCK) -> DataFrame:
         built = F.aggregate(parts, none, apply, lambda acc: F.struct(acc["role"].alias("role"), F.array_join(acc["text"], "").alias("text")))
         return F.concat(whole, F.when(F.size(parts) > 0, F.array(built)).otherwise(F.array().cast(f"array<{MESSAGE}>")))
 
-    messages = F.flatten(F.transform("turns", survivors))
+    # bound, so that no rewrite of the plan evaluates the sorted turns once for each of them
+    messages = let(F.struct(F.col("turns").alias("t"), F.col("bound").alias("b")), lambda x: F.flatten(F.transform(x["t"], lambda t, i: survivors(x["t"], x["b"], t, i))))
     return bounded.select("conv", "block", messages.alias("messages")).where(F.size("messages") > 0)
 
 
@@ -132,7 +135,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             unescape(F.substring(piece, F.length(role) + 2, F.lit(2**31 - 1))).alias("text"),
         )
 
-    under = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    under = let(F.col("formatted"), lambda f: F.transform("loss", lambda s: unescape(F.substring(f, (s["start"] + 1).cast("int"), s["length"].cast("int")))))
     return formatted.select("conv", "block", F.length("formatted").cast("long").alias("formatted_chars"), F.transform(pieces, parse).alias("messages"), under.alias("trained"))
 
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemoloom.llm.quality import let
 from mnemoloom.session import stash
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
@@ -157,15 +158,15 @@ def redact(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
     merged = F.aggregate(spans, F.array().cast(longs), merge)
     begin = F.struct(zero.alias("at"), F.array().cast("array<string>").alias("parts"))
 
-    def cut(acc: Column, x: Column) -> Column:
+    def cut(text: Column, acc: Column, x: Column) -> Column:
         kept = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
         return F.struct(x["end"].alias("at"), F.concat(acc["parts"], F.array(kept, F.lit(mark))).alias("parts"))
 
-    def close(acc: Column) -> Column:
+    def close(text: Column, acc: Column) -> Column:
         rest = F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))
         return F.concat(F.array_join(acc["parts"], ""), rest)
 
-    return F.when(F.size(found) == 0, text).otherwise(F.aggregate(merged, begin, cut, close))
+    return F.when(F.size(found) == 0, text).otherwise(let(text, lambda t: F.aggregate(merged, begin, lambda acc, x: cut(t, acc, x), lambda acc: close(t, acc))))
 
 
 def redact_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
