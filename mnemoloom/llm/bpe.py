@@ -57,6 +57,11 @@ class Automaton:
             self.merge_rank.setdefault((u, v), k)
             if self.rank[uv] < 0 and len(labels[uv]) > 1:
                 self.rank[uv], self.left[uv], self.right[uv] = k, u, v
+        #: Tokens that some text reaches: both parts are, and they stand side by side when their merge comes.
+        self.live = {t for t, label in labels.items() if len(label) == 1}
+        for k, (u, v, uv) in enumerate(merges):
+            if u in self.live and v in self.live and self.rank[uv] == k and self._stands(u, v, k):
+                self.live.add(uv)
         self._trie()
         self._reset()
 
@@ -65,7 +70,7 @@ class Automaton:
         step: list[dict[int, int]] = [{}]
         depth, token = [0], [None]
         for t, label in self.labels.items():
-            if len(label) > 1 and self.rank[t] < 0:
+            if t not in self.live:
                 continue
             node = 0
             for b in label:
@@ -97,28 +102,27 @@ class Automaton:
         self.known = {self.states[0]: 0}
         self.arcs: dict[tuple[int, int], bool] = {}
 
-    def arc(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a once all gadgets stand."""
-        if a == START:
-            return True
-        if (known := self.arcs.get((a, b))) is not None:
-            return known
+    def _stands(self, x: int, y: int, before: int) -> bool:
+        """Whether token y may follow token x once the gadgets of rank below ``before`` stand."""
         rank, left, right, merges = self.rank, self.left, self.right, self.merge_rank
-        x, y, before = a, b, len(merges) + 1
         while True:
             if (k := merges.get((x, y))) is not None and k < before:
-                ok = False
-                break
+                return False
             rx, ry = rank[x], rank[y]
             if rx < 0 and ry < 0:
-                ok = True
-                break
+                return True
             if rx > ry:
                 before, x = rx, right[x]
             else:  # of two equal pairs that overlap, the left one is merged
                 before, y = ry + 1, left[y]
-        self.arcs[a, b] = ok
-        return ok
+
+    def arc(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a once all gadgets stand."""
+        if a == START:
+            return True
+        if (known := self.arcs.get((a, b))) is None:
+            known = self.arcs[a, b] = self._stands(a, b, len(self.merge_rank) + 1)
+        return known
 
     def _next(self, state: int, byte: int) -> int:
         """Add the transition from ``state`` on ``byte`` to the table."""

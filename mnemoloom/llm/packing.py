@@ -3,12 +3,13 @@
 ``pieces`` tokenizes: a document's ids, then an end id; only documents longer than a sequence are cut, into full pieces and
 a rest. ``pack`` places the pieces. N(g) counts the open sequences with g tokens left; a piece goes where the sum of N(g)^2
 over all gaps ends up smallest, be that an open sequence or a new one, so that no gap piles up and most get filled. Ties
-take the tightest gap; a new sequence only wins if it is strictly better.
+take the tightest gap; a new sequence only wins if it is strictly better. Lengths that can't fill sequences anyhow go by
+tightest gap alone where that takes fewer sequences (:func:`repack`).
 
 Scale: texts never move, only (document, piece, length) rows do. They are packed in shards of about ``SHARD`` pieces, longest
 first in each. Sequences that a shard leaves with a gap give their pieces back, and these are packed again in the next
-round, until one shard holds them all or a round brings no more; shards therefore cost no sequences that one packer would
-have saved but for the last few.
+round, dealt out anew; each round accepts a little more slack, so that what is left soon fits one shard, whose packer sees
+all that the others filled badly.
 
 Defined cases: a null text is empty and has the end id alone; repeated rows are pieces of their own; an empty table gives no
 pieces; other columns are ignored.
@@ -16,6 +17,7 @@ pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import sys
@@ -145,19 +147,44 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 PLACED = PIECES + ", sequence_id bigint, offset bigint, gap bigint"
 
 
+def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) with each length in the open sequence of the tightest gap."""
+    gaps: list[tuple[int, int]] = []
+    sequence, offset, opened = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64), 0
+    for i, s in enumerate(lengths.tolist()):
+        at = bisect.bisect_left(gaps, (s, -1))
+        if at < len(gaps):
+            gap, seq = gaps.pop(at)
+        else:
+            gap, seq = capacity, opened
+            opened += 1
+        sequence[i], offset[i] = seq, capacity - gap
+        if gap > s:
+            bisect.insort(gaps, (gap - s, seq))
+    return sequence, offset
+
+
 def repack(lengths: np.ndarray, capacity: int = CAPACITY, passes: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`sum_of_squares` over descending ``lengths``; then again over what stands in unfilled sequences, while that fills more."""
+    """:func:`sum_of_squares` over descending ``lengths``, then again over what stands in unfilled sequences, while that fills more.
+
+    Where the lengths are such that most sequences can't be filled at all, keeping gaps diverse costs sequences; so what is
+    left over, or all, is packed by tightest gap instead if that takes fewer.
+    """
     sequence, offset = sum_of_squares(lengths, capacity)
-    for _ in range(passes):
+    for place in [*[sum_of_squares] * passes, best_fit]:
         filled = np.bincount(sequence, weights=lengths).astype(np.int64)
         loose = np.flatnonzero(filled[sequence] < capacity)
+        if not len(loose):
+            return sequence, offset
         before = len(np.unique(sequence[loose]))
-        again, offset_again = sum_of_squares(lengths[loose], capacity)
-        if not len(loose) or again.max() + 1 >= before:
+        again, offset_again = place(lengths[loose], capacity)
+        if again.max() + 1 < before:
+            sequence[loose], offset[loose] = len(filled) + again, offset_again
+            sequence = np.unique(sequence, return_inverse=True)[1]
+        elif place is best_fit:
             break
-        sequence[loose], offset[loose] = len(filled) + again, offset_again
-        sequence = np.unique(sequence, return_inverse=True)[1]
-    return sequence, offset
+    whole, offset_whole = best_fit(lengths, capacity)
+    return (whole, offset_whole) if whole.max() < sequence.max() else (sequence, offset)
 
 
 def _place(frame: pd.DataFrame, capacity: int, base: int) -> pd.DataFrame:
@@ -178,7 +205,7 @@ def _placer(capacity: int, round_: int):
     return place
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds: int = 4) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds: int = 6) -> DataFrame:
     """``items`` (columns of ``pieces``) with sequence_id and offset; every row once, every sequence gapless from 0."""
     todo, done, n = items, [], items.count()
     for round_ in range(rounds):
@@ -187,10 +214,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, rounds:
         place = _placer(capacity, round_)
         dealt = todo.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_)), F.lit(shards)))
         placed = stash(dealt.groupBy("__shard").applyInPandas(place, PLACED), "packing")
-        done.append(placed if last else placed.where("gap = 0"))
         if last:
+            done.append(placed)
             break
-        todo = placed.where("gap > 0").drop("sequence_id", "offset", "gap")
+        slack = 0 if not round_ else min(capacity, 2 << round_)
+        done.append(placed.where(F.col("gap") <= slack))
+        todo = placed.where(F.col("gap") > slack).drop("sequence_id", "offset", "gap")
         left = todo.count()
         if not left:
             break
