@@ -122,7 +122,8 @@ def test_wrapper_finds_template_without_marks():
 
 @pytest.mark.parametrize("page", ["", None, "<", "<p", "plain", "</p></p>", "<p>a<p>b</div>c", "<script>x", "<!-- never", "<a href='x>y</a>z", "<" * 5000, "<div>" * 3000 + "deep", "&#xD800;&bogus;"])
 def test_broken_pages_do_not_crash(page):
-    assert isinstance(html.extract(page), str)
+    wrapper = html.induce([PAGE % i for i in range(4)] + ["<div>" * 3000 + str(i) for i in range(4)])
+    assert isinstance(html.extract(page), str) and isinstance(html.extract(page, wrapper), str)
 
 
 def test_pages_with_nulls(spark):
