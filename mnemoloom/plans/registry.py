@@ -6,7 +6,7 @@ import importlib
 
 from mnemoloom.plans import base
 
-MODULES = ("relational", "scalars", "vectors", "events", "graphs", "geometry", "contexts", "evaluation")
+MODULES = ("relational", "scalars", "vectors", "events", "graphs", "geometry", "contexts", "evaluation", "consolidation")
 
 
 def _loaded() -> None:
