@@ -24,6 +24,8 @@ from mnemoloom.session import stash
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 P = "__s_"
+#: Tasks that the paths of one blob are dealt out to.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -136,7 +138,10 @@ def findings(paths: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct(F.element_at(order, F.col("f.rule_key")).alias("o"), F.col("f.kind").alias("kind"), F.col("f.spans").alias("spans")))).alias("found"))
     )
     none = F.array().cast(f"array<struct<o:int,kind:string,spans:{SPANS}>>")
-    return paths.join(kinds, "blob_id", "left").withColumn("found", F.coalesce("found", none))
+    # the paths of one blob are dealt out over SALTS tasks; only blobs with findings are repeated for that
+    spread = kinds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = paths.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, ["blob_id", "salt"], "left").select("path", "blob_id", F.coalesce("found", none).alias("found"))
 
 
 def spans_text(found: Column, kinds) -> Column:
