@@ -305,6 +305,48 @@ def test_classes_against_brute_force(spark):
     assert got == brute_classes(rows)
 
 
+def bucket_classes(rows):
+    """Classes by the links of all pairs that share a bucket."""
+    sets = {i: neardup.shingles(t) for i, t in rows}
+    label, members = {i: i for i in sets}, {}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, x in sets.items():
+        p, signature = neardup.partition_of(len(x)), neardup.minhash(x)
+        for key in np.concatenate([neardup.band_keys(signature, p), neardup.band_keys(signature, p + 1)]).tolist():
+            members.setdefault(key, []).append(i)
+    for a, b in {(a, b) for m in members.values() for a in m for b in m if a < b}:
+        if find(a) != find(b) and neardup.linked(sets[a], sets[b]):
+            x, y = find(a), find(b)
+            label[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("block", [256, 40])
+def test_all_members_of_a_bucket_meet(spark, monkeypatch, block):
+    """Copies that link to their base but hardly to each other; texts around a common passage, a few of them linked."""
+    monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    rng = np.random.default_rng(3)
+    word = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    rows, base, passage = [], word(200), word(100)
+    for _ in range(150):
+        mine = list(base)
+        for at in rng.choice(200, 7, replace=False):
+            mine[at] = word(1)[0]
+        rows.append(" ".join(mine))
+    rows.append(" ".join(base))
+    for _ in range(30):
+        own = word(45)
+        rows += [" ".join(passage + own), " ".join(passage + word(45)), " ".join(passage + own[:25] + word(20))]
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == bucket_classes(rows)
+
+
 def test_near_duplicates_on_awkward_rows(awkward, nothing):
     got = [(r.doc_id, r.class_id) for r in neardup.classes(awkward).collect()]
     assert len(got) == len(ROWS) and {c for d, c in got if d in (0, 1, 2)} == {0} and {c for d, c in got if d in (5, 6, 7)} == {5}
