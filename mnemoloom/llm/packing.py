@@ -44,7 +44,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 #: Characters beyond which, and strings at which, a text is left to the tokenizer as a whole.
 _FOREIGN = re.compile(rf"[^\t-\r\x20-\x7f{_LATIN}‐-‧]")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+")
 
 
