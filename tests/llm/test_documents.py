@@ -112,6 +112,15 @@ def test_word_tokenizer_equals_the_library(texts):
         assert np.frombuffer(words.encode(text), "<u4").tolist() == want.ids, text
 
 
+def test_word_tokenizer_at_every_low_code_point():
+    """Each code point below U+0250 and from U+2000 to U+206F in several places: beside words, marks, blanks."""
+    words = packing.WordTokenizer(q_bpe.vocabulary("word_bpe_49k.json"))
+    odd = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070))]
+    texts = [t for c in odd for t in (c, f"a{c}b", f"ß{c}x", f"The{c} end", f" {c}9{c}", f"'s{c}{c}\n")]
+    for text, want in zip(texts, words.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == want.ids, text
+
+
 def test_gadgets_in_order_equal_merging(spark):
     """The automaton against plain merging with random small vocabularies."""
     rng = np.random.default_rng(5)
@@ -182,6 +191,42 @@ def test_sum_of_squares_against_brute_force():
             gaps[q] = gaps.get(q, cap) - s
 
 
+def test_sparing_sum_of_squares_against_brute_force():
+    """Among open sequences with room the least sum, ties to the tightest gap; a new one only where there is none."""
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        sizes, cap = rng.integers(1, 13, 60), 12
+        seq, off = packing.sum_of_squares(sizes, cap, sparing=True)
+        gaps = {}
+        for s, q, at in zip(sizes.tolist(), seq.tolist(), off.tolist()):
+            after = {}
+            for g in {g for g in gaps.values() if g >= s}:
+                n = Counter(x for x in gaps.values() if 0 < x)
+                n[g] -= 1
+                n[g - s] += g > s
+                after[g] = (sum(v * v for v in n.values()), g)
+            assert (q in gaps and gaps[q] == min(after.values())[1]) if after else q not in gaps
+            assert at == cap - gaps.get(q, cap)
+            gaps[q] = gaps.get(q, cap) - s
+
+
+def test_pieces_of_equal_lengths_pack_alike(spark):
+    """Ties: the same pieces in any order of rows give the same sequences."""
+    rows = [(i % 40, 0, 0, 100 + i % 3, i) for i in range(400)]
+    one, other = (spark.createDataFrame(r, packing.PIECES).repartition(n) for r, n in ((rows, 1), (rows[::-1], 5)))
+    key = lambda df: sorted((r.doc_id, r.ids_crc32, r.sequence_id, r.offset) for r in packing.pack(df).collect())
+    assert key(one) == key(other)
+
+
+def test_few_sequences_on_the_test_texts(spark):
+    """At most one above the least number there can be, on the lengths of the documents of sf0.1."""
+    from mnemoloom.session import table
+
+    made = packing.pieces(table(spark, "/root/testdata/sf0.1", "documents"), q_bpe.vocabulary("word_bpe_49k.json")).select("length").toPandas()["length"].to_numpy()
+    lengths = np.sort(made)[::-1]
+    assert packing.repack(lengths)[0].max() + 1 <= -(-lengths.sum() // packing.CAPACITY) + 1
+
+
 def test_pieces_of_awkward_rows(awkward, nothing):
     path = q_bpe.vocabulary("word_bpe_49k.json")
     rows = packing.pack_documents(awkward, path).collect()
