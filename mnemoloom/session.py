@@ -49,9 +49,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have ``path`` deleted when the driver ends; nothing that was read from it may be used after that."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, executors may be lost."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, executors may be lost. It goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstash(df: DataFrame) -> None:
+    """Delete the tables that ``stash`` wrote and ``df`` reads; no one may use them any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.startswith(shared_dir(spark)):
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
