@@ -3,13 +3,14 @@
 Training reads a bounded sample of labelled documents and yields, for each language, smoothed log-likelihoods of character
 trigrams inside words. A document is a bag of words, each from one unknown language; a word's likelihood in a language is
 the product over its trigrams. EM estimates the shares of the languages in the document. Then the languages are ranked by
-share, each leading set of them is refitted, and the set of greatest log-likelihood less ``PENALTY`` * ln(words) for each
-language beyond the first is selected. The prediction is the language with the largest share in it.
+share, each leading set of them is refitted, larger ones as long as any document gains, and the set of greatest
+log-likelihood less ``PENALTY`` * ln(words) for each language beyond the first is selected. The prediction is the language
+with the largest share in it.
 
 Words' likelihoods are remembered in each worker, and EM runs over all documents of a batch at once.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; so is everything when nothing could be
-learned; ties take the language first in alphabetical order; repeated rows are judged each for itself; an empty table gives
+learned; ties take the language first in alphabetical order; very long texts count whole; repeated rows are judged each for itself; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -21,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoloom.llm.batches import by_bytes
+from mnemoloom.session import stash
 
-#: Training documents for each language, and characters read of each: the bounds of what the driver gathers.
-TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
-#: Trigrams kept for each language.
-TRAIN_GRAMS = 50_000
-SMOOTHING, PENALTY, ITERATIONS, MAX_SET = 0.5, 2.0, 10, 4
+#: Labelled documents that the model is fitted on, for each language: the one bound of training; their whole texts count.
+TRAIN_DOCS = 400
+#: Picked rows up to which they are broadcast.
+BROADCAST_ROWS = 100_000
+SMOOTHING, PENALTY, ITERATIONS = 0.5, 2.0, 10
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -48,21 +50,28 @@ class Model:
         self.languages, self.grams, self.weights = languages, grams, weights
 
 
+def trigrams(texts) -> Counter:
+    """How often each trigram stands in the words of ``texts``."""
+    seen: Counter = Counter()
+    for word, n in Counter(w for t in texts for w in letters(t)).items():
+        padded = f" {word} "
+        for i in range(len(padded) - 2):
+            seen[padded[i : i + 3]] += n
+    return seen
+
+
 def fit(samples: dict[str, list[str]]) -> Model:
     """A model of texts by language."""
-    languages = sorted(samples)
-    counts = []
-    for lang in languages:
-        seen: Counter = Counter()
-        for word, n in Counter(w for t in samples[lang] for w in letters(t)).items():
-            padded = f" {word} "
-            for i in range(len(padded) - 2):
-                seen[padded[i : i + 3]] += n
-        counts.append(dict(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TRAIN_GRAMS]))
-    grams = {g: i + 1 for i, g in enumerate(sorted(set().union(*counts)))} if counts else {}
+    return model_of({lang: trigrams(texts) for lang, texts in samples.items()})
+
+
+def model_of(counts: dict[str, dict[str, int]]) -> Model:
+    """A model of trigram counts by language."""
+    languages = sorted(counts)
+    grams = {g: i + 1 for i, g in enumerate(sorted(set().union(*counts.values())))}
     table = np.zeros((len(grams) + 1, len(languages)))
-    for j, seen in enumerate(counts):
-        for g, n in seen.items():
+    for j, lang in enumerate(languages):
+        for g, n in counts[lang].items():
             table[grams[g], j] = n
     table += SMOOTHING
     return Model(languages, grams, np.log(table / table.sum(axis=0)).astype(np.float32))
@@ -134,11 +143,13 @@ class Mixture:
         rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1, kind="stable")
         size = np.add.reduceat(n, first)
         best, chosen = np.full(len(docs), -np.inf), share
-        for m in range(1, min(MAX_SET, len(langs)) + 1):
+        for m in range(1, len(langs) + 1):
             held = np.where(rank < m, share + 1e-9, 0.0)
             fitted, ll = self._em(p, n, doc, first, held / held.sum(axis=1, keepdims=True), 0 if m == 1 else 3)
             worth = ll - PENALTY * (m - 1) * np.log(size + 1)
             better = worth > best
+            if m > 2 and not better.any():
+                break  # no document gains by a larger set
             best = np.where(better, worth, best)
             chosen = np.where(better[:, None], fitted, chosen)
         top = chosen.argmax(axis=1)
@@ -150,18 +161,27 @@ class Mixture:
 def train(docs: DataFrame, labelled: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCS) -> Model:
     """A model of the rows where ``labelled``: at most ``per_language`` documents each, those of least hash of their key.
 
-    Picking reads keys and labels alone; only the picked texts come to the driver, each cut at ``TRAIN_CHARS``.
+    Picking reads keys and labels alone, with partial tops by language; trigrams of the whole picked texts are counted where
+    they are read, and the driver gets the counts.
     """
-    pool = docs.where(labelled & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"))
-    picked: list = []
-    for row in pool.select("l").distinct().orderBy("l").collect():
-        own = pool.where(F.col("l") == row["l"]).orderBy(F.xxhash64("k"), "k").limit(per_language)
-        picked += [r["k"] for r in own.select("k").collect()]
-    texts = docs.where(F.col(key).isin(picked)).where(labelled & F.col(lang).isNotNull()).select(lang, F.substring(F.col(text), 1, TRAIN_CHARS).alias("t"))
-    samples: dict[str, list[str]] = {}
-    for row in texts.collect() if picked else []:
-        samples.setdefault(row[lang], []).append(row["t"])
-    return fit(samples)
+    usable = labelled & F.col(lang).isNotNull() & F.col(key).isNotNull()
+    pool = docs.where(usable).select(F.col(key).alias("k"), F.col(lang).alias("l")).distinct()
+    first = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
+    picked = stash(pool.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("k", "l"), "training")
+    if picked.count() <= BROADCAST_ROWS:
+        picked = F.broadcast(picked)
+    texts = docs.where(usable).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t")).join(picked, ["k", "l"], "left_semi")
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for l, own in frame.groupby("l"):
+                found = trigrams(own["t"])
+                yield pd.DataFrame({"l": l, "g": list(found.keys()), "n": list(found.values())})
+
+    counts: dict[str, dict[str, int]] = {}
+    for row in by_bytes(texts.select("l", "t")).mapInPandas(count, "l string, g string, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")).collect():
+        counts.setdefault(row["l"], {})[row["g"]] = row["n"]
+    return model_of(counts)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

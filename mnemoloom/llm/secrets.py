@@ -51,7 +51,8 @@ BASE = (
     Rule("hex", r"[0-9a-f]{16,}"),
 )
 EXTRA = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # with its body: runs of base64, then the last short one if the end line follows
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[ \t\r\n]+[A-Za-z0-9+/=]{16,})*(?:(?:[ \t\r\n]+[A-Za-z0-9+/=]+)?[ \t\r\n]*-----END [A-Z ]*PRIVATE KEY-----)?", version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )

@@ -8,10 +8,11 @@ anything reads it. Files go through pyarrow's file systems to the folder the clu
 Reading: archives come by the manifest, or from Spark's binaryFile source, which reaches any store; each frame is decoded on its own, and version
 line, mandatory headers, lengths, digests and the closing line feeds are validated; a faulty archive raises.
 
-Payloads never shuffle. Which page answers for which payload comes from (id, digest) rows alone; the table of payloads
-that occur more than once is broadcast if it has at most ``BROADCAST_ROWS`` rows, else the pages are joined to it.
+Which page answers for which payload comes from (id, digest) rows alone; the table of payloads that occur more than once is
+broadcast if it has at most ``BROADCAST_ROWS`` rows, and payloads don't shuffle. Beyond that the pages are joined to it by
+digest and salt, so that a payload on very many pages is dealt out to ``SALTS`` tasks.
 
-Defined cases: a null payload is empty; null page ids are last in order and keep their rows; rows that repeat the least
+Defined cases: a null payload is empty; a very long one is a record of up to ``MAX_RECORD`` bytes; null page ids are last in order and keep their rows; rows that repeat the least
 page id of their payload are all responses; payloads below ``min_payload`` bytes are all responses; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -31,17 +32,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoloom.llm.batches import by_bytes
-from mnemoloom.session import shared_dir, stash
+from mnemoloom.session import remove_at_exit, shared_dir, stash
 
 MAGIC = 0x184D2A5D
 #: Bytes after which a task starts another archive; payloads and bytes from which a task trains its dictionary.
 ROLL, TRAIN_PAYLOADS, TRAIN_BYTES, DICT_BYTES = 16 << 20, 128, 1 << 20, 16 << 10
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, SALTS = 500_000, 64
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANDATORY = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
-#: The most bytes that one record may unpack to.
-MAX_RECORD = 1 << 30
+#: The most bytes that one record may unpack to, and compressed bytes that the decoder is fed at a time.
+MAX_RECORD, FEED = 1 << 30, 2048
 
 
 def base32_sha1(data: bytes) -> str:
@@ -140,15 +141,24 @@ def read_archive(data: bytes) -> Iterator[dict]:
         at = 8 + size
     view = memoryview(data)
     while at < len(data):
-        frame = decompressor.decompressobj()
+        record, at = _frame(decompressor, view, at)
+        yield parse_record(record)
+
+
+def _frame(decompressor: zstandard.ZstdDecompressor, view: memoryview, at: int) -> tuple[bytes, int]:
+    """(content, end) of the frame that begins at ``at``; fed in small steps, so that little is copied and its growth is seen early."""
+    begin, frame, parts, size = at, decompressor.decompressobj(), [], 0
+    while not frame.eof:
+        if at >= len(view):
+            raise ValueError(f"frame at {begin} is cut off")
         try:
-            record = frame.decompress(view[at:])
+            parts.append(frame.decompress(view[at : at + FEED]))
         except zstandard.ZstdError as e:
-            raise ValueError(f"frame at {at}: {e}") from e
-        if not frame.eof:
-            raise ValueError(f"frame at {at} is cut off")
-        at = len(data) - len(frame.unused_data)
-        yield parse_record(record)
+            raise ValueError(f"frame at {begin}: {e}") from e
+        at = min(at + FEED, len(view))
+        if (size := size + len(parts[-1])) > MAX_RECORD:
+            raise ValueError(f"frame at {begin} unpacks to more than {MAX_RECORD} bytes")
+    return b"".join(parts), at - len(frame.unused_data)
 
 
 def train_dictionary(payloads: list[bytes]) -> bytes:
@@ -211,11 +221,16 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     small = twice.count() <= BROADCAST_ROWS
     rows = pages.select(F.col(key).cast("bigint").alias("k"), F.col(url).alias("u"), payload.cast("binary").alias("p"))
     rows = rows.withColumn("digest", F.when(F.length("p") >= min_payload, F.sha2("p", 256)))
-    joined = rows.join(F.broadcast(twice) if small else twice, "digest", "left")
+    if small:
+        joined = rows.join(F.broadcast(twice), "digest", "left")
+    else:
+        salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
     again = F.col("digest").isNotNull() & F.col("first").isNotNull() & ~F.col("k").eqNullSafe(F.col("first"))
     ready = joined.select(F.col("k").cast("string").alias("k"), "u", "p", F.when(again, F.col("first")).cast("string").alias("first"), again.alias("again"))
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
+    remove_at_exit(pages.sparkSession, folder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer = ArchiveWriter(folder, roll)

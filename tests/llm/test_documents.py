@@ -1,6 +1,7 @@
 """Operators on documents: brute force, round trips and awkward input."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -78,6 +79,14 @@ def test_ledger_scans_each_pair_once(spark):
     assert {f.kind for r in both.collect() for f in r.found} == {"assign", "access", "hex"}
 
 
+def test_private_keys_go_with_their_bodies(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA7bq2" * 3] * 4 + ["Qk9="])
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"a {whole} b", f"a {whole[:-40]}", "-----BEGIN PRIVATE KEY----- begins a key"]
+    out = [r.text for r in secrets.redact_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert out[0] == "a [REDACTED] b" and out[2] == "[REDACTED] begins a key" and "MII" not in out[1]
+
+
 def test_redaction_blots_out_what_was_found(spark):
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long, found string")
     out = {r.doc_id: r for r in secrets.redact_documents(df).collect()}
@@ -292,6 +301,68 @@ def test_language_mixtures(spark, awkward, nothing):
     assert language.identify(nothing, model).count() == 0 and language.train(nothing, language.training_rows()).languages == []
 
 
+def naive_mixture(model, text):
+    """The prediction by plain loops: EM over the words, leading sets refitted, penalised likelihood."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    langs = range(len(model.languages))
+
+    def likely(word):
+        padded = f" {word} "
+        ll = [sum(float(model.weights[model.grams.get(padded[i : i + 3], 0), j]) for i in range(len(padded) - 2)) for j in langs]
+        return [math.exp(x - max(ll)) for x in ll]
+
+    p = [likely(w) for w in words]
+
+    def em(share, rounds):
+        for _ in range(rounds):
+            total = [0.0] * len(share)
+            for row in p:
+                s = sum(a * b for a, b in zip(row, share))
+                total = [t + a * b / s for t, a, b in zip(total, row, share)]
+            share = [t / len(p) for t in total]
+        return share, sum(math.log(max(sum(a * b for a, b in zip(row, share)), 1e-30)) for row in p)
+
+    share, _ = em([1 / len(langs)] * len(langs), language.ITERATIONS)
+    order, best = sorted(langs, key=lambda j: (-share[j], j)), None
+    for m in range(1, len(langs) + 1):
+        held = [share[j] + 1e-9 if j in order[:m] else 0.0 for j in langs]
+        fitted, ll = em([h / sum(held) for h in held], 0 if m == 1 else 3)
+        worth = ll - language.PENALTY * (m - 1) * math.log(len(words) + 1)
+        if best is None or worth > best[0]:
+            best = (worth, fitted)
+        elif m > 2:
+            break
+    top = max(langs, key=lambda j: (best[1][j], -j))
+    return model.languages[top], best[1][top], sum(x > 0.01 for x in best[1])
+
+
+def test_language_mixtures_against_plain_loops():
+    rng = np.random.default_rng(11)
+    vocab = {k: ["".join(rng.choice(list(letters), 6)) for _ in range(40)] for k, letters in zip("pqrstu", ("abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"))}
+    model = language.fit({k: [" ".join(v)] for k, v in vocab.items()})
+    texts, sizes = [], set()
+    for n in (1, 1, 2, 3, 5, 6, 6):
+        for _ in range(4):
+            parts = [w for k in list(vocab)[:n] for w in rng.choice(vocab[k], 60)]
+            texts.append(" ".join(rng.permutation(parts)))
+    for text, (lang, score) in zip(texts, language.Mixture(model).predict(texts)):
+        want = naive_mixture(model, text)
+        sizes.add(want[2])
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-4)
+    assert {1, 2, 3, 5, 6} <= sizes  # sets of any number of languages are found
+
+
+def test_language_ties_go_to_the_first_in_the_alphabet():
+    model = language.fit({"b": ["same words here"], "a": ["same words here"], "c": ["quite xxx other"]})
+    assert language.Mixture(model).predict(["same words here"])[0][0] == "a"
+
+
+def test_language_trains_on_whole_texts(spark):
+    rows = [(i, "x " * 30_000 + "zebra", "aa") for i in range(3)] + [(i, "kk ll mm", "bb") for i in range(3, 6)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), language.F.lit(True))
+    assert model.languages == ["aa", "bb"] and "zeb" in model.grams and np.array_equal(model.weights, language.fit({k: [r[1] for r in rows if r[2] == k] for k in ("aa", "bb")}).weights)
+
+
 def test_language_held_out_accuracy(spark, sf):
     from mnemoloom.llm.q_language import op6_language_id
 

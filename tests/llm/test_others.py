@@ -91,6 +91,33 @@ def test_reader_uses_the_dictionary_and_rejects_faults():
         list(warc.read_archive(warc.dictionary_frame(b"x" * 50)[:20]))
 
 
+def test_reader_refuses_records_that_unpack_to_too_much(monkeypatch):
+    monkeypatch.setattr(warc, "MAX_RECORD", 1 << 20)
+    bomb = zstandard.ZstdCompressor(write_content_size=False).compress(b"\0" * (300 << 20))
+    with pytest.raises(ValueError, match="unpacks"):
+        list(warc.read_archive(warc.dictionary_frame(b"") + bomb))
+
+
+def test_reader_is_linear():
+    """Bytes that the decoder is handed grow with the archive, not with its square."""
+    record = warc.build_record(1, "u", b"x" * 300, None, False)
+    data = archive([record] * 3000)
+    view, at, fed, decompressor = memoryview(data), 8, 0, zstandard.ZstdDecompressor()
+    while at < len(data):
+        content, end = warc._frame(decompressor, view, at)
+        fed += -(-(end - at) // warc.FEED) * warc.FEED
+        assert content == record
+        at = end
+    assert fed < 3000 * 2 * warc.FEED and len(list(warc.read_archive(data))) == 3000
+
+
+def test_hot_payloads_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(i, "u", "hot" if i % 3 else f"own {i}") for i in range(60)]
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("response", None) if i % 3 == 0 or i == 1 else ("revisit", 1) for i in range(60)}
+
+
 def test_reader_takes_binary_files(spark, tmp_path):
     (tmp_path / "a.warc.zst").write_bytes(archive([warc.build_record(1, "u", b"x", None, False)]))
     files = spark.read.format("binaryFile").load(str(tmp_path))
