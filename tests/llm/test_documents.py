@@ -41,7 +41,20 @@ def test_quality_order_never_changes_the_verdict(awkward):
     kept = quality.score_quality(awkward).where("kept").count()
     assert quality.filter_quality(awkward).count() == quality.filter_quality(awkward, rules=tuple(reversed(quality.RULES))).count() == kept
     ordered = quality.plan_cascade(awkward)
-    assert [x[1] / x[2] for x in ordered] == sorted((x[1] / x[2] for x in ordered), reverse=True)
+    assert {x[0].name for x in ordered} == {r.name for r in quality.RULES} and all(0 <= x[1] <= 1 and x[2] > 0 for x in ordered)
+
+
+def test_cascade_order_by_rejection_per_cost():
+    rows = [[True, False, True], [True, False, False], [False, True, False], [False, False, False]]
+    assert quality.order_by_worth(rows, [1.0, 1.0, 1.0]) == [0, 1, 2]  # the third rejects nothing that the first lets pass
+    assert quality.order_by_worth(rows, [8.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality.order_by_worth(rows, [1.1, 0.9, 1.2]) == [0, 1, 2]  # noise
+    assert quality.order_by_worth([], [2.0, 1.0]) == [1, 0]
+
+
+def test_cascade_splits_a_text_into_words_once(awkward):
+    plan = quality.filter_quality(awkward)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # into words, and into lines
 
 
 # secrets
