@@ -10,10 +10,12 @@ from mnemoloom.functions.text import words
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, length): counted within each document before anything is shuffled."""
+def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf, length) of all terms or those in ``wanted`` (term), which others leave before they are counted."""
     toks = docs.select(key, words(F.col(text)).alias("w"))
     exploded = toks.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
+    if wanted is not None:
+        exploded = exploded.join(wanted, "term", "left_semi")
     return exploded.groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -22,7 +24,7 @@ def search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key:
     stats = docs.select(F.size(words(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
     terms = queries.select(query_key, F.explode(F.array_distinct(words(F.col(query)))).alias("term"))
     wanted = terms.select("term").distinct()
-    index = postings(docs, key, text).join(wanted, "term", "left_semi")
+    index = postings(docs, key, text, wanted)
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = terms.join(index, "term").join(df, "term").join(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemoloom.operators import kernels as K
 from mnemoloom.session import stash
 
 CAP, SEED_CLAIMS, SEED_CONCEPTS, SEED_SIM, HOPS, FAN_OUT, LEAST, LIT, VOI, GAMMA = 25, 12, 5, 0.15, 2, 0.5, 0.04, 0.10, 0.05, 0.5
@@ -59,6 +62,30 @@ def spread(seeds: DataFrame, edges: DataFrame, hops: int = HOPS, condition=None)
     return lit
 
 
+def unexplained(vectors: DataFrame):
+    """A condition for :func:`spread`: deposits times the residual of their node against the query's lit nodes.
+
+    Lit nodes count from a value of ``LIT``; with fewer than two that have vectors (node, v), or for nodes without, deposits
+    stay whole. A query's lit nodes are bounded by its seeds and the cap on neighbours.
+    """
+
+    def run(key: tuple, targets: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        nodes = dict(zip(pool["node"], pool["v"]))
+        names = sorted(nodes)
+        held = np.array([nodes[n] for n in names], dtype=float)
+        factor = [K.residual(np.asarray(v, dtype=float), held) if len(held) >= 2 else 1.0 for v in targets["v"]]
+        return pd.DataFrame({"query": key[0], "node": targets["node"], "factor": factor})
+
+    def condition(step: DataFrame, lit: DataFrame) -> DataFrame:
+        targets = step.select("query", "node").distinct().join(vectors, "node")
+        pool = lit.groupBy("query", "node").agg(F.max("value").alias("value")).where(F.col("value") >= LIT).join(vectors, "node").select("query", "node", "v")
+        factors = targets.groupBy("query").cogroup(pool.groupBy("query")).applyInPandas(run, "query string, node string, factor double")
+        weak = step.join(factors, ["query", "node"], "left")
+        return weak.select("query", "node", "probe", (F.col("value") * F.coalesce("factor", F.lit(1.0))).alias("value"))
+
+    return condition
+
+
 def salience(lit: DataFrame, edges: DataFrame, sum_probes: bool = False) -> DataFrame:
     """(query, node, strength, confluence, salience): strength over probes, more for confluence, less for hubs."""
     how = F.sum if sum_probes else F.max

@@ -167,3 +167,20 @@ def reanchor(own: np.ndarray, near: np.ndarray, lam: float = 1.0) -> int:
         return medoid(own)
     score = [residual(own[i], near) - lam * residual(own[i], np.delete(own, i, axis=0)) for i in range(len(own))]
     return int(np.argmax(np.round(score, 12)))
+
+
+def kmeans(rows: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
+    """The cluster of each row: first centres spread out from the medoid, each next one farthest from those before."""
+    k = min(k, len(rows))
+    picked = [medoid(rows)]
+    while len(picked) < k:
+        far = ((rows[:, None] - rows[picked][None]) ** 2).sum(axis=2).min(axis=1)
+        picked.append(int(np.argmax(np.round(far, 12))))
+    centres, own = rows[picked], np.zeros(len(rows), dtype=int)
+    for _ in range(rounds):
+        new = np.argmin(np.round(((rows[:, None] - centres[None]) ** 2).sum(axis=2), 12), axis=1)
+        if _ and (new == own).all():
+            break
+        own = new
+        centres = np.array([rows[own == j].mean(axis=0) if (own == j).any() else centres[j] for j in range(k)])
+    return own

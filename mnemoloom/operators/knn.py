@@ -1,8 +1,9 @@
 """Exact nearest neighbours by tenant, in blocks.
 
-Corpus and probes are packed into blocks of rows of one user. Block pairs meet by an equi-join on the user, each pair is
-one matrix product that keeps k hits for each probe, and a window merges the hits. A user with a third of all rows has many
-blocks, so the pairs spread; nothing is broadcast and no row is dropped.
+Corpus and probes are packed into blocks of rows of one user, as many as that user's own rows need. Every pair of a probe
+block and a corpus block of a user is a key of its own, to which both blocks are sent; each pair is one matrix product that
+keeps k hits for each probe, and a window merges the hits. A user with a third of all rows has many pairs, which spread over
+all tasks; many small users have one pair each. Nothing is broadcast and no row is dropped.
 """
 
 from __future__ import annotations
@@ -17,18 +18,26 @@ from pyspark.sql import functions as F
 BLOCK = 2048
 
 
-def blocks(df: DataFrame, key: str, vector: str, user: str, n_blocks: int) -> DataFrame:
-    """(user, ids, vectors) with about ``BLOCK`` rows in each block."""
-    rows = df.select(F.col(user).alias("user"), F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    dealt = rows.where("v is not null").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-    return dealt.groupBy("user", "b").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("user", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"))
+def blocks(df: DataFrame, key: str, vector: str, user: str) -> DataFrame:
+    """(user, n, b, ids, flat): a user's rows in n blocks of about ``BLOCK``, b from 0."""
+    rows = df.select(F.col(user).alias("user"), F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v")).where("v is not null")
+    sizes = rows.groupBy("user").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    dealt = rows.join(sizes, "user").withColumn("b", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    return dealt.groupBy("user", "n", "b").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("user", "n", "b", F.col("rows.id").alias("ids"), F.flatten("rows.v").alias("flat"))
+
+
+def block_pairs(probes: DataFrame, corpus: DataFrame, probe_key: str, corpus_key: str, vector: str, user: str) -> DataFrame:
+    """(user, pb, cb, pid, pflat, cid, cflat): all pairs of a user's probe and corpus blocks."""
+    p, c = blocks(probes, probe_key, vector, user), blocks(corpus, corpus_key, vector, user)
+    np_, nc = (d.select("user", "n").distinct().withColumnRenamed("n", "m") for d in (p, c))
+    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    left = p.join(nc, "user").select("user", F.col("b").alias("pb"), every.alias("cb"), F.col("ids").alias("pid"), F.col("flat").alias("pflat"))
+    right = c.join(np_, "user").select("user", every.alias("pb"), F.col("b").alias("cb"), F.col("ids").alias("cid"), F.col("flat").alias("cflat"))
+    return left.join(right, ["user", "pb", "cb"])
 
 
 def nearest(probes: DataFrame, corpus: DataFrame, k: int, probe_key: str, corpus_key: str, vector: str = "embedding", user: str = "user_id", exclude_self: bool = False) -> DataFrame:
     """(user, probe, hit, sim, rn): the ``k`` rows of greatest cosine for each probe, ties by id. Vectors are unit length."""
-    n_blocks = max(1, -(-corpus.count() // BLOCK))
-    p = blocks(probes, probe_key, vector, user, n_blocks).select("user", F.col("ids").alias("pid"), F.col("flat").alias("pflat"))
-    c = blocks(corpus, corpus_key, vector, user, n_blocks).select("user", F.col("ids").alias("cid"), F.col("flat").alias("cflat"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -46,7 +55,7 @@ def nearest(probes: DataFrame, corpus: DataFrame, k: int, probe_key: str, corpus
                     i, j = np.nonzero((np.round(sims, 9) >= least) & np.isfinite(sims))
                     yield pd.DataFrame({"user": who, "probe": names[at + i], "hit": ids[j], "sim": sims[i, j]})
 
-    hits = p.join(c, "user").mapInPandas(run, "user string, probe string, hit string, sim double")
+    hits = block_pairs(probes, corpus, probe_key, corpus_key, vector, user).mapInPandas(run, "user string, probe string, hit string, sim double")
     w = Window.partitionBy("user", "probe").orderBy(F.desc(F.round("sim", 9)), "hit")
     return hits.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 

@@ -64,14 +64,19 @@ def claim_state(events: DataFrame) -> DataFrame:
     return rest.groupBy("user_id", "claim_id").agg(F.sum(delta).alias("strength"), F.max("seq").alias("last_seq"))
 
 
-class Concepts:
-    """Concept membership of one user while events apply in order."""
+class Memory:
+    """Everything derived for one user while events apply in order."""
 
     def __init__(self):
         self.members: dict[str, dict[str, str]] = {}
         self.label: dict[str, str] = {}
         self.state: dict[str, str] = {}
         self.strength: dict[str, float] = {}
+        self.background: dict[str, int] = {}
+        self.version: dict[str, dict] = {}
+        self.relations: dict[tuple[str, str, str], float] = {}
+        self.fragments: dict[str, dict] = {}
+        self.queries: dict[str, list[str]] = {}
 
     def _add(self, concept: str, claims: list[str], kind: str = "primary") -> None:
         held = self.members.setdefault(concept, {})
@@ -80,67 +85,154 @@ class Concepts:
                 held[c] = kind
 
     def apply(self, type_: str, p: dict) -> None:
-        if type_ == "CANONICALIZED":
-            if p.get("action") == "new":
-                self.strength.setdefault(p["claim_id"], 1.0)
-            elif p["claim_id"] in self.strength:
-                self.strength[p["claim_id"]] += SUPPORT
-        elif type_ == "STRENGTHENED" and p.get("claim_id") in self.strength:
+        """One event; types that materialise nothing, and unknown ones, change nothing."""
+        if f := getattr(self, f"_{type_.lower()}", None):
+            f(p)
+
+    def _canonicalized(self, p: dict) -> None:
+        if p.get("action") == "new":
+            self.strength.setdefault(p["claim_id"], 1.0)
+        elif p["claim_id"] in self.strength:
+            self.strength[p["claim_id"]] += SUPPORT
+
+    def _strengthened(self, p: dict) -> None:
+        if p.get("claim_id") in self.strength:
             self.strength[p["claim_id"]] += p.get("delta", ECHO)
-        elif type_ == "CONCEPT_CREATED":
-            self.members.setdefault(p["concept_id"], {})
-            self.label.setdefault(p["concept_id"], p.get("label", ""))
-            self.state.setdefault(p["concept_id"], "active")
-            self._add(p["concept_id"], p.get("claim_ids", []))
-        elif type_ == "ATTACHED" and p["concept_id"] in self.members:
+
+    def _fragmented(self, p: dict) -> None:
+        for f in p.get("fragments", []):
+            self.fragments.setdefault(f["frag_id"], {"cluster": f.get("cluster"), "strength": f.get("strength", 1.0)})
+        for anchor in p.get("reinforced", []):
+            if anchor in self.fragments:
+                self.fragments[anchor]["strength"] += ECHO
+
+    def _reclustered(self, p: dict) -> None:
+        for f, concept in p.get("assignments", {}).items():
+            if f in self.fragments:
+                self.fragments[f]["cluster"] = concept
+
+    def _concept_created(self, p: dict) -> None:
+        self.members.setdefault(p["concept_id"], {})
+        self.label.setdefault(p["concept_id"], p.get("label", ""))
+        self.state.setdefault(p["concept_id"], "active")
+        self._add(p["concept_id"], p.get("claim_ids", []))
+
+    def _attached(self, p: dict) -> None:
+        if p["concept_id"] in self.members:
             self._add(p["concept_id"], p.get("claim_ids", []))
-        elif type_ == "MERGED" and p["winner_id"] in self.members:
-            loser = self.members.get(p["loser_id"], {})
-            fold = [c for c in p.get("fold_claim_ids", list(loser)) if c in loser]
-            self._add(p["winner_id"], fold)
-            for c in fold:
-                loser.pop(c, None)
-            if p.get("label"):
-                self.label[p["winner_id"]] = p["label"]
-            if not p.get("kept_claim_ids"):
-                self.members.pop(p["loser_id"], None)
-        elif type_ == "SPLIT":
-            self.members.pop(p["concept_id"], None)
-            for child in p.get("into", []):
-                self.label.setdefault(child["concept_id"], child.get("label", ""))
-                self.state.setdefault(child["concept_id"], "active")
-                self._add(child["concept_id"], child.get("claim_ids", []))
-        elif type_ == "DECAYED" and p.get("concept_id") in self.members:
+
+    def _merged(self, p: dict) -> None:
+        if p["winner_id"] not in self.members:
+            return
+        loser = self.members.get(p["loser_id"], {})
+        fold = [c for c in p.get("fold_claim_ids", list(loser)) if c in loser]
+        self._add(p["winner_id"], fold)
+        for c in fold:
+            loser.pop(c, None)
+        if p.get("label"):
+            self.label[p["winner_id"]] = p["label"]
+        if not p.get("kept_claim_ids"):
+            self.members.pop(p["loser_id"], None)
+
+    def _split(self, p: dict) -> None:
+        self.members.pop(p["concept_id"], None)
+        for child in p.get("into", []):
+            self._concept_created(child)
+
+    def _related(self, p: dict) -> None:
+        self.relations[p["from_id"], p["to_id"], p["relation"]] = p.get("weight", 1.0)
+
+    def _decayed(self, p: dict) -> None:
+        if p.get("concept_id") in self.members:
             self.state[p["concept_id"]] = p["state_to"]
-        elif type_ == "PRUNED":
-            self.members.get(p["concept_id"], {}).pop(p["claim_id"], None)
-            if not any(held.get(p["claim_id"]) == "primary" for held in self.members.values()):
-                self.strength.pop(p["claim_id"], None)
-        elif type_ == "CHANNEL_REDUNDANCY":
-            for held in self.members.values():
-                for c in [c for c, kind in held.items() if kind == "redundant"]:
-                    del held[c]
-            for claim, concepts in p.get("pairs", {}).items():
-                for concept in concepts:
-                    if concept in self.members:
-                        self._add(concept, [claim], "redundant")
+
+    def _backgrounded(self, p: dict, flag: int = 1) -> None:
+        if p["claim_id"] in self.strength:
+            self.background[p["claim_id"]] = flag
+
+    def _unbackgrounded(self, p: dict) -> None:
+        self._backgrounded(p, 0)
+
+    def _versioned(self, p: dict) -> None:
+        for end in ("current", "other"):
+            if p.get(f"{end}_id") in self.strength:
+                status = "version" if p["mode"] == "version" else "scoped" if p["mode"] == "scope" else "current" if end == "current" else "superseded"
+                self.version[p[f"{end}_id"]] = {"group": p["version_group"], "status": status, "qualifier": p.get(f"qualifier_{end}")}
+
+    def _pruned(self, p: dict) -> None:
+        claim = p["claim_id"]
+        self.members.get(p["concept_id"], {}).pop(claim, None)
+        if not any(held.get(claim) == "primary" for held in self.members.values()):
+            for of in (self.strength, self.background, self.version):
+                of.pop(claim, None)
+
+    def _channel_redundancy(self, p: dict) -> None:
+        self._replace("redundant", p.get("pairs", {}))
+
+    def _query_injected(self, p: dict) -> None:
+        self.queries = {q["id"]: q.get("text", "") for q in p.get("queries", [])}
+        self._replace("query", {q["id"]: q.get("concept_ids", []) for q in p.get("queries", [])})
+
+    def _replace(self, kind: str, pairs: dict[str, list[str]]) -> None:
+        """All members of one kind become ``pairs``, claim to concepts."""
+        for held in self.members.values():
+            for c in [c for c, k in held.items() if k == kind]:
+                del held[c]
+        for claim, concepts in pairs.items():
+            for concept in concepts:
+                if concept in self.members:
+                    self._add(concept, [claim], kind)
 
     def rows(self) -> list[tuple]:
+        """(concept_id, label, state, claim_id, kind) of all members."""
         return [(k, self.label.get(k, ""), self.state.get(k, "active"), c, kind) for k in sorted(self.members) for c, kind in sorted(self.members[k].items())]
 
+    def entities(self) -> list[tuple]:
+        """(entity, id, ref, value, detail) of everything."""
+        out: list[tuple] = [("concept", k, self.state.get(k, "active"), float(len(self.members[k])), self.label.get(k, "")) for k in sorted(self.members)]
+        out += [("member", k, c, None, kind) for k in sorted(self.members) for c, kind in sorted(self.members[k].items())]
+        for c in sorted(self.strength):
+            v = self.version.get(c, {})
+            detail = ",".join(filter(None, ["background" if self.background.get(c) else "", v.get("status"), v.get("qualifier")]))
+            out.append(("claim", c, v.get("group"), self.strength[c], detail))
+        out += [("relation", a, b, w, r) for (a, b, r), w in sorted(self.relations.items())]
+        out += [("fragment", f, x["cluster"], x["strength"], None) for f, x in sorted(self.fragments.items())]
+        return out + [("query", q, None, None, text) for q, text in sorted(self.queries.items())]
 
-def rebuild(log: DataFrame, runs: DataFrame) -> DataFrame:
-    """(user_id, concept_id, label, state, claim_id, kind) from the active log: users in parallel, each in the order of seq."""
+
+def _fold(log: DataFrame, runs: DataFrame, columns: list[str], kinds: str, rows) -> DataFrame:
+    """The active log folded by user, users in parallel, each in the order of seq."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        state = Concepts()
+        state = Memory()
         for type_, payload in frame.sort_values("seq", kind="stable")[["type", "payload"]].itertuples(index=False):
             state.apply(type_, json.loads(payload) if payload else {})
-        columns = ["concept_id", "label", "state", "claim_id", "kind"]
-        return pd.DataFrame(state.rows(), columns=columns).assign(user_id=frame["user_id"].iloc[0])[["user_id", *columns]]
+        return pd.DataFrame(rows(state), columns=columns).assign(user_id=frame["user_id"].iloc[0])[["user_id", *columns]]
 
     kept = active(log, runs).select("seq", "user_id", "type", "payload")
-    return kept.groupBy("user_id").applyInPandas(fold, "user_id string, concept_id string, label string, state string, claim_id string, kind string")
+    return kept.groupBy("user_id").applyInPandas(fold, f"user_id string, {kinds}")
+
+
+def rebuild(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """(user_id, concept_id, label, state, claim_id, kind) of all members by the active log."""
+    columns = ["concept_id", "label", "state", "claim_id", "kind"]
+    return _fold(log, runs, columns, ", ".join(f"{c} string" for c in columns), Memory.rows)
+
+
+def rebuild_all(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """(user_id, entity, id, ref, value, detail): concepts, members, claims, relations, fragments and query-claims by the active log."""
+    return _fold(log, runs, ["entity", "id", "ref", "value", "detail"], "entity string, id string, ref string, value double, detail string", Memory.entities)
+
+
+def relation_state(events: DataFrame) -> DataFrame:
+    """(user_id, from_id, to_id, relation, weight): the last weight of each relation; plain aggregates of (seq, .., weight)."""
+    return events.groupBy("user_id", "from_id", "to_id", "relation").agg(F.max_by("weight", "seq").alias("weight"))
+
+
+def flag_state(events: DataFrame) -> DataFrame:
+    """(user_id, claim_id, background): the last flag of each claim, of events (seq, user_id, type, claim_id)."""
+    flags = events.where(F.col("type").isin("BACKGROUNDED", "UNBACKGROUNDED"))
+    return flags.groupBy("user_id", "claim_id").agg(F.max_by(F.when(F.col("type") == "BACKGROUNDED", 1).otherwise(0), "seq").alias("background"))
 
 
 def roll_back(runs: DataFrame, run_id: str) -> DataFrame:

@@ -193,3 +193,61 @@ def route_notes(notes: DataFrame, memory: DataFrame, z_echo: float = Z_ECHO) ->
 
     a, b = notes.select("user_id", "ts", "id", "embedding").groupBy("user_id"), memory.select("user_id", "id", "embedding", "cluster").groupBy("user_id")
     return a.cogroup(b).applyInPandas(run, "user_id string, " + ROUTED)
+
+
+def decompose(rows: DataFrame, group: str, idx: str, text: str) -> DataFrame:
+    """(group, part, text): contiguous segments of a query's rows by meaning; each row by itself where that gives one segment."""
+    z = robust_z(causal_nearest(rows, group, idx), group)
+    cut = islands(z, group, idx, F.coalesce(F.col("z") <= DROP, F.lit(False))).select(group, idx, "segment")
+    full = rows.select(group, idx, text).join(cut, [group, idx])
+    several = F.max("segment").over(Window.partitionBy(group)) > 0
+    part = full.withColumn("part", F.when(several, F.col("segment")).otherwise(F.col(idx)).cast("int"))
+    g = part.groupBy(group, "part").agg(F.sort_array(F.collect_list(F.struct(idx, text))).alias("p"))
+    return g.select(group, "part", F.array_join(F.transform("p", lambda x: x[text]), " ").alias("text"))
+
+
+def dedup_route(probes: DataFrame, corpus: DataFrame, z_echo: float = 1.0, same: float = 0.92, uncertain: float = 0.75) -> DataFrame:
+    """(user_id, id, decision): same, uncertain or new for each probe.
+
+    A probe with more than ``K.SPAN`` neighbours is measured and routed; one with fewer goes by bands of the nearest cosine.
+    """
+    few = corpus.groupBy("user_id").agg((F.count(F.lit(1)) <= K.SPAN + 1).alias("few"))
+    m = route(measure(probes, corpus), ["user_id"], z_echo).join(few, "user_id", "left")
+    sim = F.coalesce("nearest_sim", F.lit(-1.0))
+    bands = F.when(sim >= same, "same").when(sim >= uncertain, "uncertain").otherwise("new")
+    routed = F.when(F.col("route") == "PREDICTED", "same").when(F.col("route") == "AMBIGUOUS", "uncertain").otherwise("new")
+    return m.select("user_id", "id", F.when(F.coalesce("few", F.lit(True)), bands).otherwise(routed).alias("decision"))
+
+
+def channel_holes(corpus: DataFrame, centres: DataFrame, k: int = 10, floor: float = 0.55, z_low: float = 1.0, z_high: float = 3.0, budget: int = 80) -> DataFrame:
+    """(user_id, claim_id, channel, cos, z, rank): claims that a concept other than their home nearly holds, but doesn't explain.
+
+    Of each claim the ``k`` nearest centres of concepts of two or more members, its home aside; cosine at least ``floor`` and z
+    of its residual against the concept's members within bounds, by the concept's own leave-one-out spread. The best of each
+    claim by cosine times z, ``budget`` for a user. ``centres``: user_id, concept_id, embedding.
+    """
+    loo = loo_residuals(corpus.where("cluster is not null"), ["user_id", "cluster"]).groupBy("user_id", "cluster")
+    spread = loo.agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("m"), F.greatest(F.stddev_pop("residual"), F.lit(K.SD_FLOOR)).alias("s"))
+    small = F.col("n") <= K.SPAN + 1
+    spread = spread.where("n >= 2").select("user_id", F.col("cluster").alias("channel"), F.when(small, 0.7).otherwise(F.col("m")).alias("mu"), F.when(small, 0.2).otherwise(F.col("s")).alias("sd"))
+    many = centres.join(spread.select("user_id", F.col("channel").alias("concept_id")), ["user_id", "concept_id"], "left_semi")
+    hits = knn.nearest(corpus, many, k + 1, "id", "concept_id").select(F.col("user").alias("user_id"), F.col("probe").alias("id"), F.col("hit").alias("channel"), F.col("sim").alias("cos"))
+    away = hits.join(corpus.select("user_id", "id", "embedding", "cluster"), ["user_id", "id"]).where(~F.col("cluster").eqNullSafe(F.col("channel")))
+    w = Window.partitionBy("user_id", "id").orderBy(F.desc(F.round("cos", 9)), "channel")
+    near = away.withColumn("rn", F.row_number().over(w)).where((F.col("rn") <= k) & (F.col("cos") >= floor)).drop("rn", "cluster")
+    group = F.to_json(F.struct("user_id", "channel"))
+    asked = near.select(group.alias("user_id"), "id", "embedding").distinct()
+    pools = corpus.where("cluster is not null").withColumn("channel", F.col("cluster")).select(group.alias("user_id"), "id", "embedding", "cluster")
+
+    def run(frames):
+        for frame in frames:
+            r = [K.residual(np.asarray(x, dtype=float), np.array([n["v"] for n in held], dtype=float)) for x, held in zip(frame["embedding"], frame["near"])]
+            yield pd.DataFrame({"g": frame["user_id"], "id": frame["id"], "residual": r})
+
+    measured = neighbours(asked, pools, K.SPAN).mapInPandas(run, "g string, id string, residual double")
+    scored = near.withColumn("g", group).join(measured, ["g", "id"]).join(spread, ["user_id", "channel"])
+    scored = scored.withColumn("z", (F.col("residual") - F.col("mu")) / F.col("sd")).where(F.col("z").between(z_low, z_high)).withColumn("score", F.round(F.col("cos") * F.col("z"), 9))
+    best = Window.partitionBy("user_id", "id").orderBy(F.desc("score"), "channel")
+    first = scored.withColumn("rn", F.row_number().over(best)).where("rn = 1")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "id"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= budget).select("user_id", F.col("id").alias("claim_id"), "channel", "cos", "z", "rank")

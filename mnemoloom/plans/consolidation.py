@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from mnemoloom.functions import ids
 from mnemoloom.operators import kernels as K
-from mnemoloom.operators import knn
 from mnemoloom.operators import predictor as P
 from mnemoloom.operators import relational as R
 from mnemoloom.plans.base import query
 from mnemoloom.plans.geometry import corpus
-from mnemoloom.plans.vectors import _CONCEPT_MEAN, unit_means
+from mnemoloom.plans.vectors import _CONCEPT_MEAN, nearest_concepts
 
 C, L = F.col, F.lit
 
@@ -33,11 +32,8 @@ _PASS = _CONCEPT_MEAN + """, near AS (SELECT *, row_number() OVER (PARTITION BY
 @query("k03_concept_pass", _PASS)
 def _(t):
     """The judge's default policy: attach to the best plausible concept, else create one."""
-    j = t("claims").select("user_id", "claim_id", C("embedding").alias("e")).join(unit_means(t), "user_id")
-    s = F.round(knn.similarity(C("e"), C("embedding")), 9)
-    best = R.top_n(j.select("claim_id", "concept_id", s.alias("s")), ["claim_id"], [F.desc("s"), C("concept_id")], 1)
-    ok = C("s") >= 0.40
-    return best.select("claim_id", F.when(ok, "attach").otherwise("create").alias("action"), F.when(ok, C("concept_id")).alias("concept_id"))
+    ok = F.round("sim", 9) >= 0.40
+    return nearest_concepts(t).select(C("probe").alias("claim_id"), F.when(ok, "attach").otherwise("create").alias("action"), F.when(ok, C("hit")).alias("concept_id"))
 
 
 @query("k04_valid_decisions", """SELECT r.from_id, r.to_id FROM {relations} r WHERE r.from_id IN (SELECT concept_id FROM {concepts}) AND r.to_id IN (SELECT concept_id FROM {concepts})""")
@@ -51,9 +47,7 @@ def _(t):
 @query("k09_recluster_counts", _CONCEPT_MEAN + ", a AS (SELECT probe, hit, row_number() OVER (PARTITION BY probe ORDER BY round(sim, 9) DESC, hit) AS rn FROM s) SELECT hit AS concept_id, count(*) AS n FROM a WHERE rn = 1 GROUP BY 1")
 def _(t):
     """Sizes of the concepts after every claim moves to the nearest centre."""
-    j = t("claims").select("user_id", "claim_id", C("embedding").alias("e")).join(unit_means(t), "user_id")
-    s = j.select("claim_id", "concept_id", F.round(knn.similarity(C("e"), C("embedding")), 9).alias("s"))
-    return R.top_n(s, ["claim_id"], [F.desc("s"), C("concept_id")], 1).groupBy("concept_id").agg(F.count(L(1)).alias("n"))
+    return nearest_concepts(t).groupBy(C("hit").alias("concept_id")).agg(F.count(L(1)).alias("n"))
 
 
 @query("k10_query_injection", """WITH q AS (SELECT user_id, text, max(vec_id) AS newest FROM {claims} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY newest DESC) AS rn FROM q)
@@ -104,13 +98,9 @@ def _(t):
 
 @query("g18_kmeans_fallback")
 def _(t):
-    """Clusters of a user's claims where there is no blueprint: k by the root of the size, between 2 and 6."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    rows = t("claims").where("user_id = 'u0'").select("claim_id", array_to_vector("embedding").alias("features"))
-    k = max(2, min(6, int(rows.count() ** 0.5)))
-    return KMeans(k=k, seed=42, maxIter=10).fit(rows).transform(rows).select("claim_id", C("prediction").cast("int").alias("cluster"))
+    """Clusters of an episode's fragments where there is no blueprint: k by the root of their number, between 2 and 6."""
+    f = t("fragments").select("episode_id", C("frag_id").alias("id"), "embedding")
+    return P.per_group(f, ["episode_id"], "id string, cluster int", lambda g, v: list(zip(g["id"], K.kmeans(v, max(2, min(6, int(len(v) ** 0.5)))).tolist())))
 
 
 @query("x01_reach", """SELECT user_id, round(avg(CASE WHEN concept_id IN (SELECT concept_id FROM {concepts} WHERE n < 5) THEN 1 ELSE 0 END), 6) AS reach FROM {claims} GROUP BY 1""")

@@ -73,7 +73,7 @@ def _(t):
     frag = R.top_n(t("fragments").where("medoid_idx is not null"), ["episode_id"], [F.desc("residual"), C("frag_id")], 2)
     cand = frag.join(best, "episode_id").select("query", C("frag_id").alias("id"), "embedding", "salience")
     peak = cand.groupBy("query").agg(F.max("salience").alias("top"))
-    q = t("claims").where("vec_id < 3").select(F.concat(L("q"), C("vec_id")).alias("query"), C("embedding").alias("qvec"))
+    q = t("claims").where("vec_id % 40 = 0").select(F.concat(L("q"), F.floor(C("vec_id") / 40)).alias("query"), C("embedding").alias("qvec"))
     ready = cand.join(peak, "query").join(q, "query").withColumn("weight", C("salience") / C("top"))
     return P.assemble(ready.select("query", "id", "embedding", "weight", "qvec"), "query", k=24, gain_floor=0.20)
 
@@ -83,7 +83,7 @@ def _(t):
     """Candidates by cosine above the triage bound, then greedy choice by relevance."""
     from mnemoloom.operators import knn
 
-    q = t("claims").where("vec_id < 8").select("user_id", C("claim_id").alias("query"), C("embedding").alias("qvec"))
+    q = t("claims").where("vec_id % 20 = 0").select("user_id", C("claim_id").alias("query"), C("embedding").alias("qvec"))
     f = t("fragments").where("medoid_idx is not null").select("user_id", C("frag_id").alias("id"), "embedding")
     c = f.join(q, "user_id").withColumn("weight", knn.similarity(C("qvec"), C("embedding"))).where("weight > 0.15 and concat('clm_', substring(id, 5)) <> query")
     return P.assemble(R.top_n(c, ["query"], [F.desc("weight"), C("id")], 40).select("query", "id", "embedding", "weight", "qvec"), "query", k=24)
@@ -95,7 +95,7 @@ def _(t):
     from mnemoloom.operators import knn
     from mnemoloom.plans.vectors import unit_means
 
-    q = t("claims").where("vec_id < 8").select("user_id", C("claim_id").alias("query"), C("embedding").alias("qvec"))
+    q = t("claims").where("vec_id % 20 = 0").select("user_id", C("claim_id").alias("query"), C("embedding").alias("qvec"))
     near = unit_means(t).join(q, "user_id").withColumn("cos", knn.similarity(C("qvec"), C("embedding"))).where("cos >= 0.18")
     top = R.top_n(near, ["query"], [F.desc("cos"), C("concept_id")], 3).select("query", "concept_id", F.round("cos", 4).alias("cos"))
     m = R.top_n(t("claims"), ["concept_id"], [F.desc("strength"), C("claim_id")], 4).select("concept_id", "claim_id")
@@ -142,7 +142,7 @@ def _(t):
     from mnemoloom.operators import kernels as K
 
     f = t("fragments").select("user_id", C("frag_id").alias("id"), "embedding", "cluster")
-    q = t("claims").where("vec_id < 4").select("user_id", C("embedding").alias("qvec"), C("concept_id").alias("topic"))
+    q = t("claims").where("vec_id % 20 = 0").select("user_id", C("claim_id").alias("query"), C("embedding").alias("qvec"), C("concept_id").alias("topic"))
 
     def run(frame, v):
         x = np.array(frame["qvec"].iloc[0], dtype=float)
@@ -154,6 +154,6 @@ def _(t):
 
     from mnemoloom.operators import knn
 
-    pool = R.top_n(f.join(q, "user_id").withColumn("cos", knn.similarity(C("qvec"), C("embedding"))), ["user_id"], [F.desc("cos"), C("id")], 40)
-    bounded = pool.drop("rn", "cos")
-    return P.per_group(bounded, ["user_id"], "id string, cos double", run)
+    hits = knn.nearest(q.withColumnRenamed("qvec", "embedding"), f, 40, "query", "id").select(C("probe").alias("query"), C("hit").alias("id"))
+    pool = hits.join(f.drop("user_id"), "id").join(q.drop("user_id"), "query")
+    return P.per_group(pool, ["query"], "id string, cos double", run)

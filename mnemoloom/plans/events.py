@@ -65,6 +65,57 @@ def _(t):
     return log.rebuild(concept_log(t), log.roll_back(t("runs"), "run_3"))
 
 
+def full_log(t):
+    """The log with payloads of all types that materialise something, dealt out by seq."""
+    n, c = "cast(seq % 40 as string)", "claim_id"
+    kinds = {
+        "CANONICALIZED": f"""concat('{{"action":"', if(seq % 3 = 0, 'support', 'new'), '","claim_id":"', {c}, '"}}')""",
+        "CONCEPT_CREATED": f"""concat('{{"concept_id":"c', {n}, '","label":"l', {n}, '","claim_ids":["', {c}, '"]}}')""",
+        "ATTACHED": f"""concat('{{"concept_id":"c', {n}, '","claim_ids":["', {c}, '"]}}')""",
+        "MERGED": f"""concat('{{"winner_id":"c', {n}, '","loser_id":"c', (seq + 7) % 40, '"}}')""",
+        "SPLIT": f"""concat('{{"concept_id":"c', {n}, '","into":[{{"concept_id":"c', (seq + 3) % 40, '","claim_ids":["', {c}, '"]}}]}}')""",
+        "RELATED": f"""concat('{{"from_id":"', {c}, '","to_id":"clm_', seq % 29, '","relation":"leads_to","weight":', seq % 10 / 10.0, '}}')""",
+        "STRENGTHENED": f"""concat('{{"claim_id":"', {c}, '","delta":0.25}}')""",
+        "DECAYED": f"""concat('{{"concept_id":"c', {n}, '","state_to":"', if(seq % 2 = 0, 'stale', 'dormant'), '"}}')""",
+        "BACKGROUNDED": f"""concat('{{"claim_id":"', {c}, '"}}')""",
+        "UNBACKGROUNDED": f"""concat('{{"claim_id":"', {c}, '"}}')""",
+        "PRUNED": f"""concat('{{"concept_id":"c', {n}, '","claim_id":"', {c}, '"}}')""",
+        "VERSIONED": f"""concat('{{"version_group":"v', {n}, '","mode":"supersede","current_id":"', {c}, '","other_id":"clm_', seq % 31, '"}}')""",
+        "CHANNEL_REDUNDANCY": f"""concat('{{"pairs":{{"', {c}, '":["c', {n}, '"]}}}}')""",
+        "QUERY_INJECTED": f"""concat('{{"queries":[{{"id":"qclm_', {n}, '","text":"t","concept_ids":["c', {n}, '"]}}]}}')""",
+        "FRAGMENTED": f"""concat('{{"fragments":[{{"frag_id":"f', seq % 300, '","cluster":"c', {n}, '"}}],"reinforced":["f', seq % 37, '"]}}')""",
+        "RECLUSTERED": f"""concat('{{"assignments":{{"f', seq % 300, '":"c', {n}, '"}}}}')""",
+        "ENCODED": "'{}'",
+    }
+    which = F.pmod(F.col("seq") * 11 + F.floor(F.col("seq") / 17), L(len(kinds)))
+    kind, payload = F, F
+    for i, (k, e) in enumerate(kinds.items()):
+        kind, payload = kind.when(which == i, k), payload.when(which == i, F.expr(e))
+    return t("log").select("seq", "user_id", F.lit("").alias("ts"), "run_id", kind.alias("type"), payload.alias("payload"))
+
+
+@query("k11_replay_all")
+def _(t):
+    """Concepts, members, claims, relations, fragments and query-claims folded from the active log of all event types."""
+    return log.rebuild_all(full_log(t), t("runs"))
+
+
+@query("k11_relation_state", f"""SELECT user_id, claim_id AS from_id, concat('clm_', seq_ % 29) AS to_id, 'leads_to' AS relation, max_by(seq % 10 / 10.0::DOUBLE, seq) AS weight
+    FROM (SELECT *, seq AS seq_ FROM {{log}} WHERE type = 'STRENGTHENED' AND {_ACTIVE}) GROUP BY 1, 2, 3, 4""")
+def _(t):
+    """Relations as aggregates of the log: a repeated one changes its weight alone."""
+    e = log.active(t("log"), t("runs")).where("type = 'STRENGTHENED'")
+    to, weight = F.concat(L("clm_"), C("seq") % 29), (C("seq") % 10 / 10.0).cast("double")
+    return log.relation_state(e.select("seq", "user_id", C("claim_id").alias("from_id"), to.alias("to_id"), L("leads_to").alias("relation"), weight.alias("weight")))
+
+
+@query("k11_flag_state", f"""SELECT user_id, claim_id, max_by(CASE WHEN type = 'DECAYED' THEN 1 ELSE 0 END, seq) AS background FROM {{log}} WHERE type IN ('DECAYED', 'STRENGTHENED') AND {_ACTIVE} GROUP BY 1, 2""")
+def _(t):
+    e = log.active(t("log"), t("runs"))
+    kind = F.when(C("type") == "DECAYED", "BACKGROUNDED").when(C("type") == "STRENGTHENED", "UNBACKGROUNDED")
+    return log.flag_state(e.select("seq", "user_id", "claim_id", kind.alias("type")))
+
+
 @query("a04_exposure_demote", f"""WITH shown AS (SELECT user_id, episode_id, count(*) AS seen, sum(fetched) AS fetched FROM {{signals}} GROUP BY 1, 2),
     e AS (SELECT s.user_id, s.claim_id, sum(seen) AS seen, sum(fetched) AS f FROM {{support}} s JOIN shown USING (user_id, episode_id) GROUP BY 1, 2),
     v AS (SELECT user_id, claim_id, sum(vote) AS net FROM ({_FEEDBACK}) GROUP BY 1, 2)

@@ -10,7 +10,7 @@ from mnemoloom.operators import kernels as K
 from mnemoloom.operators import knn
 from mnemoloom.operators import predictor as P
 from mnemoloom.plans.base import query
-from mnemoloom.plans.vectors import _CONCEPT_MEAN, unit_means
+from mnemoloom.plans.vectors import _CONCEPT_MEAN, nearest_concepts, unit_means
 
 C, L = F.col, F.lit
 
@@ -86,7 +86,7 @@ def _(t):
     return t("relations").select("from_id", "to_id", F.when(C("relation") == "contradicts", "contradict").otherwise("refine").alias("direction"))
 
 
-_SEQ = "seqs AS (SELECT vec_id // 12 AS ep, vec_id % 12 AS idx, embedding FROM {claims} WHERE vec_id < 480)"
+_SEQ = "seqs AS (SELECT vec_id // 12 AS ep, vec_id % 12 AS idx, embedding FROM {claims})"
 _CURVE = f"""{_SEQ}, curve AS (SELECT a.ep, a.idx, CASE WHEN a.idx >= 2 THEN max(list_dot_product(cast(a.embedding AS DOUBLE[]), cast(b.embedding AS DOUBLE[]))) END AS sim
     FROM seqs a LEFT JOIN seqs b ON b.ep = a.ep AND b.idx < a.idx GROUP BY 1, 2)"""
 _Z = f"""{_CURVE}, med AS (SELECT ep, quantile_cont(sim, 0.5) AS m, count(sim) AS n FROM curve GROUP BY 1), mad AS (SELECT c.ep, quantile_cont(abs(sim - m), 0.5) AS d FROM curve c JOIN med ON med.ep = c.ep GROUP BY 1),
@@ -94,8 +94,7 @@ _Z = f"""{_CURVE}, med AS (SELECT ep, quantile_cont(sim, 0.5) AS m, count(sim) A
 
 
 def sequences(t):
-    s = t("claims").where("vec_id < 480")
-    return s.select(F.floor(C("vec_id") / 12).alias("ep"), (C("vec_id") % 12).alias("idx"), "embedding", C("claim_id").alias("text"))
+    return t("claims").select(F.floor(C("vec_id") / 12).alias("ep"), (C("vec_id") % 12).alias("idx"), "embedding", C("claim_id").alias("text"))
 
 
 def curve(t):
@@ -134,17 +133,19 @@ def _(t):
 
 @query("sg06_decompose_query")
 def _(t):
-    """Sub-queries of user turns by sentence, each turn in order."""
+    """Sub-queries of user turns: segments of their sentences by meaning, or every sentence where there is one segment."""
     from mnemoloom.functions import text
+    from mnemoloom.sources.embedder import embedder
 
-    q = t("conversations").where("role = 'user'")
-    return q.select("conv_id", "turn", F.posexplode(text.sentences(C("text"), 1)).alias("part", "sub_query"))
+    q = t("conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text").distinct()
+    s = q.select("turn_id", F.posexplode(text.sentences(C("text"), 1)).alias("idx", "sentence"))
+    return P.decompose(s.withColumn("embedding", embedder()(C("sentence"))), "turn_id", "idx", "sentence")
 
 
 @query("g01_assemble")
 def _(t):
     """Up to six claims for each query by marginal residual."""
-    q = t("claims").where("vec_id < 8").select("user_id", C("claim_id").alias("query"), C("embedding").alias("qvec"))
+    q = t("claims").where("vec_id % 20 = 0").select("user_id", C("claim_id").alias("query"), C("embedding").alias("qvec"))
     c = t("claims").select("user_id", C("claim_id").alias("id"), "embedding").join(q, "user_id").where("id <> query")
     cand = c.withColumn("weight", knn.similarity(C("qvec"), C("embedding")))
     w = Window.partitionBy("query").orderBy(F.desc("weight"), "id")
@@ -234,21 +235,14 @@ def _(t):
 @query("g12_channel_holes")
 def _(t):
     """Claims near a concept that isn't their home, not quite explained by it: the best for each claim, 80 in all for a user."""
-    homes = unit_means(t).select("user_id", C("concept_id").alias("channel"), C("embedding").alias("c"))
-    near = t("claims").select("user_id", "claim_id", "concept_id", "embedding").join(homes, "user_id").where("concept_id <> channel")
-    near = near.withColumn("cos", knn.similarity(C("embedding"), C("c")))
-    w = Window.partitionBy("claim_id").orderBy(F.desc("cos"), "channel")
-    best = near.withColumn("rn", F.row_number().over(w)).where("rn <= 1")
-    u = Window.partitionBy("user_id").orderBy(F.desc("cos"), "claim_id")
-    return best.withColumn("rank", F.row_number().over(u)).where("rank <= 80").select("user_id", "claim_id", "channel", F.round("cos", 4).alias("cos"), "rank")
+    return rounded(P.channel_holes(corpus(t), unit_means(t), floor=0.2), cos=4, z=3)
 
 
 @query("g13_route_note")
 def _(t):
-    """New notes in order against memory that grows as they are stored."""
-    notes = t("claims").where("vec_id >= 400 and vec_id < 480").select("user_id", C("vec_id").alias("ts"), C("claim_id").alias("id"), "embedding")
-    memory = corpus(t).join(t("claims").where("vec_id < 400").select(C("claim_id").alias("id")), "id", "left_semi")
-    return P.route_notes(notes, memory)
+    """All notes in order against memory that grows from nothing as they are stored."""
+    notes = t("claims").select("user_id", C("vec_id").alias("ts"), C("claim_id").alias("id"), "embedding")
+    return P.route_notes(notes, corpus(t).limit(0))
 
 
 @query("g15_region", """SELECT frag_id, CASE WHEN z > 0 THEN frag_id ELSE coalesce(cluster, frag_id) END AS region FROM {fragments}""")
@@ -272,19 +266,13 @@ def _(t):
 @query("j20_nearest_centroid", _CONCEPT_MEAN + " SELECT probe, hit FROM (SELECT *, row_number() OVER (PARTITION BY probe ORDER BY round(sim, 9) DESC, hit) AS rn FROM s) WHERE rn = 1")
 def _(t):
     """Reclustering: the concept whose centre is nearest."""
-    j = t("claims").select("user_id", C("claim_id").alias("probe"), C("embedding").alias("e")).join(unit_means(t), "user_id")
-    best = F.max_by("concept_id", F.struct(F.round(knn.similarity(C("e"), C("embedding")), 9), F.negate(F.substring_index("concept_id", "_", -1).cast("int"))))
-    return j.groupBy("probe").agg(best.alias("hit"))
+    return nearest_concepts(t).select("probe", "hit")
 
 
-@query("k01_dedup_route", """SELECT probe, CASE WHEN sim >= 0.4 THEN 'same' WHEN sim >= 0.3 THEN 'uncertain' ELSE 'new' END AS decision FROM (SELECT p.claim_id AS probe,
-    max(round(list_dot_product(cast(p.embedding AS DOUBLE[]), cast(c.embedding AS DOUBLE[])), 4)) AS sim FROM {claims} p JOIN {claims} c ON c.user_id = p.user_id AND c.vec_id <> p.vec_id WHERE p.vec_id % 20 = 0 GROUP BY 1)""")
+@query("k01_dedup_route")
 def _(t):
-    """Same, uncertain or new by bands of the nearest claim's cosine."""
-    from mnemoloom.plans.vectors import _by_name
-
-    sim = F.round("sim", 4)
-    return _by_name(t, "claims", "claim_id", 1).select("probe", F.when(sim >= 0.4, "same").when(sim >= 0.3, "uncertain").otherwise("new").alias("decision"))
+    """Same, uncertain or new: by measure and route, by bands of cosine where a user has six claims or fewer."""
+    return P.dedup_route(probes(t), corpus(t))
 
 
 @query("k05_integrity")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mnemoloom.operators import graph
 from mnemoloom.plans.base import query
+from mnemoloom.plans.vectors import _CONCEPT_MEAN, _by_name, _knn_sql, nearest_concepts, unit_means
 
 C, L = F.col, F.lit
 
@@ -31,18 +32,28 @@ def _(t):
     return graph.related(t("relations"), t("concepts").where("n = 2").select("concept_id"))
 
 
-_SEEDS = "seeds AS (SELECT concat('q', vec_id % 3) AS query, claim_id AS node, concat('p', vec_id % 2) AS probe, 0.4 + (vec_id % 6) / 10.0::DOUBLE AS value FROM {claims} WHERE vec_id < 30)"
+_SEEDS = f"""{_CONCEPT_MEAN[5:]}, near AS ({_knn_sql('claims', 'claim_id', 12).format(claims='{claims}')} UNION ALL
+    SELECT probe, hit, sim, rn FROM (SELECT probe, hit, sim, row_number() OVER (PARTITION BY probe ORDER BY round(sim, 9) DESC, hit) AS rn FROM s WHERE cast(substring(probe, 5) AS BIGINT) % 20 = 0) WHERE rn <= 5),
+    seeds AS (SELECT concat('q', cast(substring(probe, 5) AS BIGINT) // 40) AS query, hit AS node, probe, round(sim, 4) AS value FROM near WHERE round(sim, 4) > 0.15)"""
 
 
 def seeds(t):
-    return t("claims").where("vec_id < 30").select(
-        F.concat(L("q"), C("vec_id") % 3).alias("query"), C("claim_id").alias("node"), F.concat(L("p"), C("vec_id") % 2).alias("probe"), (L(0.4) + C("vec_id") % 6 / 10.0).alias("value")
-    )
+    """Every twentieth claim is a probe, two of them make a query: the 12 nearest claims and 5 nearest concepts of each probe."""
+    own = t("claims").where("vec_id % 20 = 0")
+    near = _by_name(t, "claims", "claim_id", graph.SEED_CLAIMS).select("probe", "hit", "sim").unionByName(nearest_concepts(t, graph.SEED_CONCEPTS, own).select("probe", "hit", "sim"))
+    number = F.floor(F.substring("probe", 5, 20).cast("long") / 40)
+    found = near.select(F.concat(L("q"), number).alias("query"), C("hit").alias("node"), "probe", F.round("sim", 4).alias("value"))
+    return found.where(C("value") > graph.SEED_SIM)
 
 
-@query("gr02_seeds", f"WITH {_SEEDS} SELECT query, node, probe, round(value, 6) AS value FROM seeds WHERE value > 0.15")
+def node_vectors(t):
+    """(node, v) of claims and concepts."""
+    return t("claims").select(C("claim_id").alias("node"), C("embedding").cast("array<double>").alias("v")).unionByName(unit_means(t).select(C("concept_id").alias("node"), C("embedding").alias("v")))
+
+
+@query("gr02_seeds", f"WITH {_SEEDS} SELECT query, node, probe, value FROM seeds")
 def _(t):
-    return seeds(t).where(C("value") > graph.SEED_SIM).select("query", "node", "probe", F.round("value", 6).alias("value"))
+    return seeds(t)
 
 
 _HOP1 = f"""{_EDGES}, {_SEEDS}, lit0 AS (SELECT query, node, probe, max(value) AS value FROM seeds GROUP BY 1, 2, 3),
@@ -57,8 +68,8 @@ def _(t):
 
 @query("gr03_spread")
 def _(t):
-    """Two hops with the stop by value of information."""
-    return graph.spread(seeds(t), edges(t))
+    """Two hops, deposits weakened by what the lit nodes explain already, with the stop by value of information."""
+    return graph.spread(seeds(t), edges(t), condition=graph.unexplained(node_vectors(t)))
 
 
 @query("gr04_salience", f"""WITH {_HOP1}, n AS (SELECT query, node, max(value) AS strength, count(DISTINCT probe) AS confluence FROM lit1 GROUP BY 1, 2)

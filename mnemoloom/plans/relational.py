@@ -185,6 +185,27 @@ def _(t):
     return R.top_n(counted, ["episode_id"], [F.desc("n"), C("concept_id")], 1).select("episode_id", "concept_id")
 
 
+@query("j17_anchor_prior", """WITH h AS (SELECT claim_id, min(episode_id) AS episode_id FROM {support} GROUP BY 1),
+    n AS (SELECT c.claim_id, f.anchor_id, row_number() OVER (PARTITION BY c.claim_id ORDER BY round(list_dot_product(cast(c.embedding AS DOUBLE[]), cast(f.embedding AS DOUBLE[])), 9) DESC, f.frag_id) AS rn
+    FROM {claims} c JOIN h ON h.claim_id = c.claim_id JOIN {fragments} f ON f.user_id = c.user_id AND f.episode_id = h.episode_id),
+    v AS (SELECT n.claim_id, m.concept_id, count(*) AS votes FROM n JOIN {fragments} a ON a.frag_id = n.anchor_id JOIN {support} s ON s.episode_id = a.episode_id JOIN {members} m ON m.claim_id = s.claim_id AND m.kind = 'primary' WHERE n.rn = 1 GROUP BY 1, 2)
+    SELECT claim_id, concept_id FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY votes DESC, concept_id) AS rn FROM v) WHERE rn = 1""")
+def _(t):
+    """A claim's likely concept: its nearest fragment of the same episode, that one's anchor, and the commonest concept of the anchor's episode."""
+    from mnemoloom.operators.knn import similarity
+
+    home = t("support").groupBy("claim_id").agg(F.min("episode_id").alias("episode_id"))
+    f = t("fragments").select("user_id", "episode_id", "frag_id", "anchor_id", C("embedding").alias("v"))
+    near = t("claims").select("user_id", "claim_id", "embedding").join(home, "claim_id").join(f, ["user_id", "episode_id"])
+    near = R.top_n(near.withColumn("s", F.round(similarity(C("embedding"), C("v")), 9)), ["claim_id"], [F.desc("s"), C("frag_id")], 1).select("claim_id", "anchor_id")
+    there = near.join(t("fragments").select(C("frag_id").alias("anchor_id"), "episode_id"), "anchor_id").select(C("claim_id").alias("asked"), "episode_id")
+    primary = t("members").where("kind = 'primary'").select("claim_id", "concept_id")
+    # concepts are counted by episode first, so that an episode that many claims lead to is counted once
+    votes = t("support").select("claim_id", "episode_id").join(primary, "claim_id").groupBy("episode_id", "concept_id").agg(F.count(L(1)).alias("votes"))
+    modal = R.top_n(votes, ["episode_id"], [F.desc("votes"), C("concept_id")], 1).select("episode_id", "concept_id")
+    return there.join(modal, "episode_id").select(C("asked").alias("claim_id"), "concept_id")
+
+
 @query("j18_primary_support", "SELECT claim_id, min(episode_id) AS episode_id FROM {support} GROUP BY claim_id")
 def _(t):
     return t("support").groupBy("claim_id").agg(F.min("episode_id").alias("episode_id"))
@@ -242,12 +263,12 @@ def _(t):
 @query("s02_revisit_order", """SELECT episode_id, row_number() OVER (ORDER BY c DESC, n DESC, episode_id) AS pos FROM
     (SELECT episode_id, count(*) FILTER (WHERE z > 0) AS c, count(*) AS n FROM {fragments} GROUP BY episode_id)""")
 def _(t):
-    """Order of a bounded batch: most contradictions, then most novelties. The batch was cut before, so one task ranks it."""
-    from pyspark.sql import Window
+    """Order of a batch: most contradictions, then most novelties. Numbered by range partitions, so no task ranks all."""
+    from mnemoloom.operators import log
 
     g = t("fragments").groupBy("episode_id").agg(F.count_if(C("z") > 0).alias("c"), F.count(L(1)).alias("n"))
-    w = Window.orderBy(F.desc("c"), F.desc("n"), "episode_id")
-    return g.select("episode_id", F.row_number().over(w).cast("long").alias("pos"))
+    none = g.select(C("n").alias("seq")).limit(0)
+    return log.append(none, g, [F.desc("c"), F.desc("n"), C("episode_id")]).select("episode_id", C("seq").alias("pos"))
 
 
 @query("s03_two_stage_topk", """SELECT user_id, claim_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY days_inactive, claim_id) AS r2 FROM

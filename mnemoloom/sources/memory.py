@@ -33,6 +33,7 @@ DERIVED = {
     "fragments": """SELECT concat('frg_', vec_id) AS frag_id, concat('u', vec_id % 4) AS user_id, concat('ep_', vec_id % 200) AS episode_id,
         vec_id % 7 AS sent_start, vec_id % 7 + vec_id % 3 AS sent_end, CASE WHEN vec_id % 10 = 9 THEN NULL ELSE vec_id % 7 END AS medoid_idx,
         concat('cpt_', vec_id % 4, '_', label) AS cluster, (vec_id % 19) / 19e0 AS residual, (vec_id % 23) / 4e0 - 4e0 AS z,
+        CASE WHEN vec_id % 5 > 0 THEN concat('frg_', vec_id - vec_id % 5) END AS anchor_id,
         concat('span ', vec_id) AS text, vec_id, embedding FROM {embeddings}""",
     "relations": """SELECT concat('clm_', vec_id) AS from_id, concat('clm_', vec_id + 4 * (vec_id % 5 + 1)) AS to_id, concat('u', vec_id % 4) AS user_id,
         CASE vec_id % 3 WHEN 0 THEN 'leads_to' WHEN 1 THEN 'contradicts' ELSE 'supports' END AS relation, (vec_id % 11) / 10e0 AS weight, vec_id AS seq FROM {embeddings}
