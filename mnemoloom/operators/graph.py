@@ -70,7 +70,7 @@ def unexplained(vectors: DataFrame):
     """
 
     def run(key: tuple, targets: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
-        nodes = dict(zip(pool["node"], pool["v"]))
+        nodes = dict(zip(pool["lit_node"], pool["lit_v"]))
         names = sorted(nodes)
         held = np.array([nodes[n] for n in names], dtype=float)
         factor = [K.residual(np.asarray(v, dtype=float), held) if len(held) >= 2 else 1.0 for v in targets["v"]]
@@ -78,8 +78,9 @@ def unexplained(vectors: DataFrame):
 
     def condition(step: DataFrame, lit: DataFrame) -> DataFrame:
         targets = step.select("query", "node").distinct().join(vectors, "node")
-        pool = lit.groupBy("query", "node").agg(F.max("value").alias("value")).where(F.col("value") >= LIT).join(vectors, "node").select("query", "node", "v")
-        factors = targets.groupBy("query").cogroup(pool.groupBy("query")).applyInPandas(run, "query string, node string, factor double")
+        pool = lit.groupBy("query", "node").agg(F.max("value").alias("value")).where(F.col("value") >= LIT).join(vectors, "node")
+        pool = pool.select(F.col("query").alias("lit_query"), F.col("node").alias("lit_node"), F.col("v").alias("lit_v"))
+        factors = targets.groupBy("query").cogroup(pool.groupBy("lit_query")).applyInPandas(run, "query string, node string, factor double")
         weak = step.join(factors, ["query", "node"], "left")
         return weak.select("query", "node", "probe", (F.col("value") * F.coalesce("factor", F.lit(1.0))).alias("value"))
 

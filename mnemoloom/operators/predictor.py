@@ -175,7 +175,7 @@ def route_notes(notes: DataFrame, memory: DataFrame, z_echo: float = Z_ECHO) ->
         out = []
         n = n.sort_values(["ts", "id"])
         for i, x in zip(n["id"], vectors(n)):
-            got = K.measure(x, np.array(pool).reshape(len(pool), -1), ids, clusters, base, prior)
+            got = K.measure(x, np.array(pool).reshape(len(pool), len(x)), ids, clusters, base, prior)
             if got["cold"]:
                 kind = "NOVEL"
             elif got["z"] <= z_echo:
