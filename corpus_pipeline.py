@@ -2,6 +2,10 @@
 
 Each stage reads what its predecessor kept, as Parquet in the shared folder, and all but the last return the columns of
 ``documents``. No stage samples or caps its input; the language model alone is fitted on a bounded, documented sample.
+
+Defined cases: null and empty texts have too few words and go in the first stage; very long texts count whole; rows that
+repeat an id are one document in near-dedup, which keeps one of them; rows of a null id keep one of each text; ties keep the
+least id; an empty table gives no pieces; extra columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

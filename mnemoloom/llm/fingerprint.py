@@ -9,7 +9,7 @@ fingerprint keeps 16 bits of a hash of each sample, so unlike samples look alike
 A (word, weight) pair always gives the same row of candidates, so rows are remembered in each worker. A row packs a (as
 order-preserving bits) above the 16 bits of the sample, and a document's fingerprint is the minimum over its rows.
 
-Defined cases: a null text is empty; a text without words has a fingerprint of zeros, alike to another such (1) and to
+Defined cases: a null text is empty; a very long one counts whole; null ids come last, in one bucket; a text without words has a fingerprint of zeros, alike to another such (1) and to
 nothing else (0); documents of one id are ordered by text; an empty table gives an empty result; a single document is its
 own next one; other columns are ignored.
 """
@@ -23,14 +23,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoloom.llm.batches import by_bytes
 
 SAMPLES = 64
-#: Rows of one bucket of the order, and the most buckets there are.
-BUCKET_ROWS, MAX_BUCKETS = 2000, 20_000
+#: Rows of one bucket of the order, and the most buckets that the driver keeps the first keys of; larger buckets are streamed alike.
+BUCKET_ROWS, MAX_BUCKETS = 2000, 100_000
 EMPTY = "0" * (4 * SAMPLES)
 
 
@@ -132,50 +132,44 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def _bucket(value: Column, cuts: list[int]) -> Column:
-    """How many of the descending ``cuts`` exceed ``value``; two steps of about the square root of their number each."""
-    if not cuts:
-        return F.lit(0)
-    width = int(len(cuts) ** 0.5) or 1
-    coarse = F.array(*map(F.lit, cuts[width - 1 :: width]))
-    rank = lambda a: F.size(F.filter(a, lambda c: c > value))
-    blocks = rank(coarse)
-    return F.when(value.isNull(), F.lit(len(cuts))).otherwise(
-        blocks * width + rank(F.slice(F.array(*map(F.lit, cuts)), blocks * width + 1, F.lit(width)))
-    )
+def _placer(firsts: np.ndarray):
+    """A column function: twice the bucket of a key, plus one if it is the first key there. ``firsts`` descend from the greatest key."""
+    ascending = -firsts
+
+    @F.pandas_udf("bigint")
+    def place(keys: pd.Series) -> pd.Series:
+        k = -keys.to_numpy(dtype=np.int64)
+        at = np.searchsorted(ascending, k, side="right") - 1
+        return pd.Series(2 * at + (ascending[at] == k))
+
+    return place
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows dealt out by buckets of descending ``key``, ready to be streamed: (__b, __guest, __key, __text).
 
     Each bucket ends with a guest, the first row of the bucket after it (of the first bucket, after the last one). A text
-    is shuffled once; the driver sees bucket bounds alone, at most ``MAX_BUCKETS`` of them.
+    is shuffled once. Buckets are range partitions of the keys alone; the driver sees the first key of each, and Python
+    workers look keys up in these, no literals in the plan.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    ids = rows.select("__key")
-    n = ids.count()
-    buckets = min(MAX_BUCKETS, max(1, n // BUCKET_ROWS))
-    cuts: list[int] = []
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = sorted({int(x) for x in ids.approxQuantile("__key", probs, 1 / (4 * buckets))}, reverse=True)
-    placed = rows.withColumn("__b", _bucket(F.col("__key"), cuts))
-    # nulls come last of all, and so are first only of a bucket of nulls
-    first = {r["__b"]: r["m"] for r in placed.groupBy("__b").agg(F.max("__key").alias("m")).collect()}
-    order = sorted(first)
-    guests: dict = {}
-    for i, b in enumerate(order):
-        guests.setdefault(first[b], []).append((order[i - 1], b))
-    known = [k for k in guests if k is not None]
-    home = F.create_map(*[F.lit(x) for k in known for x in (k, guests[k][0][0])]) if known else None
-    own = F.struct(F.col("__b").alias("b"), F.lit(False).alias("guest"))
-    double = lambda b: F.array(own, F.struct(b.cast("int").alias("b"), F.lit(True).alias("guest")))
-    cases = F.array(own)
-    if known:
-        cases = F.when(F.col("__key").isin(known), double(F.element_at(home, F.col("__key")))).otherwise(cases)
-    if None in guests:
-        cases = F.when(F.col("__key").isNull(), double(F.lit(guests[None][0][0]))).otherwise(cases)
-    dealt = placed.withColumn("__to", F.explode(cases)).select(F.col("__to.b").alias("__b"), F.col("__to.guest").alias("__guest"), "__key", "__text")
+    ids = rows.select("__key").where("__key is not null")
+    buckets = min(MAX_BUCKETS, max(1, ids.count() // BUCKET_ROWS))
+    tops = ids.repartitionByRange(buckets, F.desc("__key")).groupBy(F.spark_partition_id().alias("p")).agg(F.max("__key").alias("m")).collect()
+    firsts = np.array(sorted({r["m"] for r in tops}, reverse=True), dtype=np.int64)
+    nulls = 0 if rows.where("__key is null").isEmpty() else 1
+    last = len(firsts) - 1 + nulls
+    n = F.lit(len(firsts))
+    if len(firsts):
+        code = _placer(firsts)(F.coalesce("__key", F.lit(0).cast("bigint")))
+        rows = rows.withColumn("__code", F.when(F.col("__key").isNotNull(), code).otherwise(2 * n + 1))
+    else:
+        rows = rows.withColumn("__code", F.lit(1))
+    home, first = F.floor(F.col("__code") / 2).cast("int"), F.col("__code") % 2 == 1
+    own = F.struct(home.alias("b"), F.lit(False).alias("guest"))
+    before = F.struct(F.when(home == 0, F.lit(last)).otherwise(home - 1).alias("b"), F.lit(True).alias("guest"))
+    dealt = rows.withColumn("__to", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
+    dealt = dealt.select(F.col("__to.b").alias("__b"), F.col("__to.guest").alias("__guest"), "__key", "__text")
     return dealt.repartition("__b").sortWithinPartitions("__b", "__guest", F.desc_nulls_last("__key"), "__text")
 
 

@@ -1,6 +1,7 @@
 """Query over all documents: encode, decode, digest.
 
-Null texts are empty; an empty text has no tokens; repeated rows give repeated rows; an empty table gives an empty result.
+Defined cases: null texts are empty; an empty text has no tokens; a very long text is encoded whole; repeated rows give
+repeated rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -186,3 +186,43 @@ def test_pipeline_against_brute_force(spark, sf, tmp_path):
     seen = corpus_pipeline.run(spark, sf).collect()
     check_packing(seen)
     assert {r.doc_id for r in seen} <= one
+
+
+def run_stages(spark, docs, tmp):
+    """The pipeline's stages over any documents, each written and read again."""
+    import corpus_pipeline
+
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        made = stage(spark, docs, None)
+        if i + 1 < len(corpus_pipeline.STAGES):
+            assert made.columns == docs.columns
+        made.write.parquet(f"{tmp}/{i}")
+        docs = spark.read.schema(made.schema).parquet(f"{tmp}/{i}")
+    return docs.collect()
+
+
+def test_pipeline_on_awkward_rows(spark, sf, awkward, nothing, tmp_path):
+    """Awkward rows with some good ones among them, repeated, without an id, and with columns of clashing names."""
+    from test_documents import check_packing, features
+
+    good = [r for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if not features(r.text)[-1]][:60]
+    rows = [(1000 + r.doc_id, r.text, r.lang, None, r.n_chars, "w", 1, "i", 2, None) for r in good]
+    rows += rows[:5] + [(None, *rows[0][1:])] + [(r[0] + 5000, *r[1:]) for r in rows[5:8]]
+    got = run_stages(spark, awkward.unionByName(spark.createDataFrame(rows, awkward.schema)), tmp_path / "a")
+    check_packing(got)
+    ids = [r.doc_id for r in got if r.piece == 0]
+    assert len(ids) == len(set(ids)) > 30 and set(ids) <= {r[0] for r in rows if r[0] is None or r[0] < 5000}
+    assert run_stages(spark, nothing, tmp_path / "b") == []
+
+
+def test_pipeline_blots_out_secrets(spark, sf):
+    """The secret stage against spans found one by one."""
+    import corpus_pipeline
+    from test_documents import base_spans
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["secret scans"](spark, docs, sf).collect()}
+    for r in docs.collect():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in base_spans(r.text).split(",") if s]
+        assert all(r.text[a:b] not in out[r.doc_id].text for a, b in spans) and out[r.doc_id].n_chars == len(out[r.doc_id].text or "")
+        assert spans or "[REDACTED]" in out[r.doc_id].text or out[r.doc_id].text == r.text
