@@ -4,7 +4,7 @@ A document is the set of its shingles of ``WORDS`` words. Two documents are link
 larger by ``CONTAINMENT`` or more, whatever their sizes. Links up to ``RATIO`` = 1 / ``CONTAINMENT`` times apart in size can
 hold both ways; the components of these make classes. A link to a larger text holds one way: the class is joined to one
 class that contains a member of it, that of the least container, so a short common text doesn't tie together all texts that
-quote it. Every text that is contained anywhere is in a class with one of its containers.
+quote it. Every text that is contained anywhere is in a class with one of its containers; the others are listed.
 
 1. Documents with equal shingle sets collapse to one representative.
 2. Set sizes are cut into partitions, each ``RATIO`` times as wide as its lower bound. A document is indexed in its own
@@ -19,14 +19,14 @@ quote it. Every text that is contained anywhere is in a class with one of its co
    buckets that hold several classes after the last round, all members of different classes are checked against each other,
    block by block.
 4. In all partitions beyond the next, the converted similarity is too low for bands: a query of q shingles has it at least
-   at 0.8 q / (x + 0.2 q) with an indexed set of x, for x = 50 q at 0.016. There the ``PROBES`` minima of the query are looked up
-   among all shingles of the larger sets, which must hold ``PROBE_HITS`` of them: one that contains 80 % has them with
-   probability 0.97, one that contains 90 % with 0.998. What passes looks up all its shingles (:func:`_containers`).
+   at 0.8 q / (x + 0.2 q) with an indexed set of x, for x = 50 q at 0.016. There every set is asked for by its shingles, and all
+   links are found, each container of each set (:func:`_containers`). They are listed beside the classes, on the row of the
+   container, as a short text can be in any number of larger ones.
 5. A check compares whole shingle sets, computed from the texts: exact, no estimate takes part.
 
 Texts are shuffled for documents in candidate pairs alone, and a hub's text goes to each ``CHUNK`` of its members once.
 Labels spread through the links in joins until none changes, with the lineage cut by written tables. The driver gathers
-counts and a bitmap of at most 2^``FILTER_BITS`` bits that spares shingles a shuffle; where it is full they shuffle.
+counts and bitmaps of at most 2^``FILTER_BITS`` bits that spare shingles a shuffle; where they are full these shuffle.
 
 Defined cases: a null or empty text has no shingles, and all such documents form one class; a text of fewer than ``WORDS``
 words is one shingle; very long texts count whole; repeated rows are members of their class each; rows of one id are one
@@ -52,14 +52,12 @@ WORDS, CONTAINMENT, RECALL = 5, 0.8, 0.97
 #: Sizes of sets up to this far apart can contain one another by ``CONTAINMENT`` both ways.
 RATIO = 1 / CONTAINMENT
 HASHES = 160
-#: Shingles by which a set asks for much larger ones, and how many of them must be in one (all of a set of no more than these: its share).
-PROBES, PROBE_HITS = 10, 6
-#: Sets that are tried before all.
-TRIES = 3
-#: The most bits, as a power of two, of the filter of probes that the driver and all workers hold: 64 MiB.
+#: The most bits, as a power of two, of a filter of shingles that the driver and all workers hold: 64 MiB.
 FILTER_BITS = 29
-#: Ids up to which they are broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Sizes of sets are compared in steps of this factor; so many steps, or more, lie between any two beyond ``RATIO``.
+SIZE_STEP, SIZE_STEPS = 1.09, 2
+#: Shingles of a range of hashes, which meet in one task, and those that are dealt out in one go.
+RANGE, DEALT = 1 << 20, 1 << 20
 #: Members of a hub that are checked in one go.
 CHUNK = 256
 #: Rounds of hubs after the first.
@@ -197,7 +195,7 @@ def band_keys(signature: np.ndarray, partition: int) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, set_hash, size, bands, probes) of every row; bands of its own partition, then of the next."""
+    """(key, set_hash, size, bands) of every row; bands of its own partition, then of the next."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -211,19 +209,12 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 if len(found):
                     p, signature = partition_of(len(found)), minhash(found)
                     bands = np.concatenate([band_keys(signature, p), band_keys(signature, p + 1)])
-                out.append((k, name, len(found), bands, probes_of(found)))
-            yield pd.DataFrame(out, columns=["key", "set_hash", "size", "bands", "probes"])
+                out.append((k, name, len(found), bands))
+            yield pd.DataFrame(out, columns=["key", "set_hash", "size", "bands"])
 
     rows = by_bytes(docs.select(F.col(key).cast("string").alias("__key"), F.col(text).alias("__text")))
-    made = rows.mapInPandas(run, "key string, set_hash string, size int, bands array<bigint>, probes array<bigint>")
-    return made.select(F.col("key").cast("bigint").alias("key"), "set_hash", "size", "bands", "probes")
-
-
-def probes_of(found: np.ndarray) -> np.ndarray:
-    """The ``PROBES`` shingles of least scrambled hash."""
-    if len(found) > PROBES:
-        found = found[np.argpartition(found * np.uint64(0xD6E8FEB86659FD93), PROBES)[:PROBES]]
-    return found.view(np.int64)
+    made = rows.mapInPandas(run, "key string, set_hash string, size int, bands array<bigint>")
+    return made.select(F.col("key").cast("bigint").alias("key"), "set_hash", "size", "bands")
 
 
 def contained(small: np.ndarray, large: np.ndarray) -> bool:
@@ -364,11 +355,8 @@ def _passes(found: np.ndarray, bits: int, bitmap: np.ndarray) -> np.ndarray:
     return found
 
 
-def _sightings(docs: DataFrame, reps: DataFrame, wanted: DataFrame, key: str, text: str, within: DataFrame | None = None) -> DataFrame:
-    """(b, larger, h): where the hashes ``wanted`` (h), and a few others, stand among all shingles of the sets ``reps``; larger is the set's size.
-
-    Others than ``within`` (id), which must hold all sets that matter, are passed over if these are few enough to broadcast.
-    """
+def _sightings(docs: DataFrame, reps: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
+    """(b, larger, h): where the hashes ``wanted`` (h), and a few others, stand among all shingles of the sets ``reps``; larger is the set's size."""
     bits, bitmap = _filter(wanted)
     held = docs.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -378,71 +366,120 @@ def _sightings(docs: DataFrame, reps: DataFrame, wanted: DataFrame, key: str, te
             yield pd.DataFrame({"id": frame["id"], "hits": hits})
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    if within is not None and within.count() <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(within), "id", "left_semi")
     made = by_bytes(rows).mapInPandas(run, "id bigint, hits array<bigint>").where(F.size("hits") > 0)
     seen = stash(made.join(reps.select("id", "size"), "id"), "sightings")
     return seen.select(F.col("id").alias("b"), F.col("size").alias("larger"), F.explode("hits").alias("h"))
 
 
-def _tops(where: DataFrame, least: int) -> DataFrame:
-    """(h, n, tops): in how many sets a hash is, and the largest (larger, b) of each octave of sizes, ascending; of hashes in ``least`` sets or more."""
-    octave = F.floor(F.log2(F.col("larger").cast("double"))).cast("int")
-    tops = where.groupBy("h", octave.alias("o")).agg(F.max(F.struct("larger", F.negate("b").alias("b"))).alias("m"), F.count(F.lit(1)).alias("n"))
-    tops = tops.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("m.larger", F.negate("m.b").alias("b")))).alias("tops"), F.sum("n").alias("n"))
-    return tops.where(F.col("n") >= least)
+def _ends(packed: np.ndarray) -> np.ndarray:
+    """Of numbers hash * 256 + code the least and the greatest of each hash, sorted."""
+    packed = np.unique(packed)
+    new = packed[1:] >> np.uint64(8) != packed[:-1] >> np.uint64(8)
+    keep = np.ones(len(packed), dtype=bool)
+    keep[1:-1] = new[1:] | new[:-1]
+    return packed[keep]
+
+
+def _slots(low: np.ndarray, width: int) -> np.ndarray:
+    """Two places of each 32-bit number in a slice of 2^width bits."""
+    shift = np.uint64(32 - width)
+    return np.stack([low >> shift, (low * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> shift])
 
 
-def _seen_larger(asks: DataFrame, tops: DataFrame) -> DataFrame:
-    """(id, size, h, n, b): of ``asks`` (id, size, h) those in a set beyond ``RATIO`` times the size, and one such set of the least octave."""
-    first = F.get(F.filter("tops", lambda x: x["larger"] > RATIO * F.col("size")), F.lit(0))
-    return asks.join(tops, "h").select("id", "size", "h", "n", first["b"].alias("b")).where("b is not null")
+def _uneven(rows: DataFrame, total: int) -> tuple[int, int, np.ndarray]:
+    """(ranges, width, bitmaps): the shingles that stand in sets more than ``RATIO`` apart in size, and a few others, by range of hashes.
+
+    ``rows`` (id, text) hold about ``total`` shingles, of which none is left out. They shuffle in blocks of five bytes each: 32 bits of
+    the hash besides its range, and the logarithm of the set's size; a block holds at most two of each hash.
+    """
+    ranges = max(6, (total // RANGE).bit_length())
+    width = max(3, min(FILTER_BITS - ranges, 32, (total // 2).bit_length() - ranges))
+
+    def deal(packed: list) -> pd.DataFrame:
+        found = _ends(np.concatenate(packed))
+        at = np.searchsorted(found, np.arange((1 << ranges) + 1, dtype=np.uint64) << np.uint64(40))
+        low, codes = (found >> np.uint64(8)).astype(np.uint32), found.astype(np.uint8)
+        rows = [(r, low[i:j].tobytes(), codes[i:j].tobytes()) for r, (i, j) in enumerate(zip(at, at[1:])) if i < j]
+        return pd.DataFrame(rows, columns=["r", "low", "codes"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for frame in frames:
+            for t in frame["text"]:
+                found = runs(t)
+                if len(found):
+                    code = np.uint64(math.log(len(np.unique(found))) / math.log(SIZE_STEP))
+                    held.append(found >> np.uint64(32 - ranges) << np.uint64(8) | code)
+                    n += len(found)
+                if n >= DEALT:
+                    yield deal(held)
+                    held, n = [], 0
+        if held:
+            yield deal(held)
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        low = np.frombuffer(b"".join(frame["low"]), dtype=np.uint32).astype(np.uint64)
+        found = _ends(low << np.uint64(8) | np.frombuffer(b"".join(frame["codes"]), dtype=np.uint8))
+        apart = (found[1:] >> np.uint64(8) == found[:-1] >> np.uint64(8)) & ((found[1:] & np.uint64(255)) - (found[:-1] & np.uint64(255)) >= np.uint64(SIZE_STEPS))
+        bits = np.zeros(1 << width, dtype=bool)
+        bits[_slots(found[1:][apart] >> np.uint64(8), width).ravel()] = True
+        return pd.DataFrame([(frame["r"].iloc[0], np.packbits(bits, bitorder="little").tobytes())] if apart.any() else [], columns=["r", "map"])
+
+    parts = by_bytes(rows).mapInPandas(run, "r int, low binary, codes binary").groupBy("r").applyInPandas(fill, "r int, map binary")
+    bitmaps = np.zeros((1 << ranges, 1 << width - 3), dtype=np.uint8)
+    for row in parts.collect():
+        bitmaps[row["r"]] = np.frombuffer(row["map"], dtype=np.uint8)
+    return ranges, width, bitmaps
+
+
+def _in_uneven(found: np.ndarray, ranges: int, width: int, bitmaps: np.ndarray) -> int:
+    """How many of the hashes ``bitmaps`` may hold."""
+    at = found >> np.uint64(64 - ranges)
+    a, b = _slots(found >> np.uint64(32 - ranges) & np.uint64(0xFFFFFFFF), width)
+    has = lambda p: bitmaps[at, p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1)
+    return int(np.count_nonzero(has(a) & has(b)))
 
 
 def _containers(docs: DataFrame, reps: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(a, b, size): representatives a and sets b, of ``size``, beyond ``RATIO`` times theirs, that contain them.
+    """All (a, b, size): representatives a and sets b, of ``size``, beyond ``RATIO`` times theirs, that contain them.
 
-    Of each set that is contained in any, one or more such b. A set's probes are looked up among all shingles of all sets;
-    if enough are in larger ones, all its shingles are. Sets with too few of these in larger sets are done: sums over
-    shingles, no pairs. Of a set's rarest shingles, as many as any container must hold one of, each names a larger set; those
-    named most often are tried. Sets without success try all larger sets that hold any of these rarest shingles.
+    Every step lets pass what can be a link, by all shingles of the sets. What a container may hold stands in sets far apart in size:
+    a set with too few such shingles is done. The others look theirs up among all shingles of all sets; those with too few in larger
+    sets are done. Of a set's rarest shingles, as many as any container must hold one of, name the larger sets, and all these are
+    checked.
     """
     reps = stash(reps, "representatives")
-    probes = reps.select("id", "size", F.explode("probes").alias("h"))
-    share = F.ceil(F.col("size") * CONTAINMENT - 1e-9)
-    need = F.when(F.col("size") <= PROBES, share).otherwise(PROBE_HITS)
-    seen = _sightings(docs, reps, probes.select("h"), key, text)
-    found = _seen_larger(probes, _tops(seen, 2))
-    asks = stash(found.groupBy("id", "size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need).select("id", "size"), "asks")
-
-    def shingled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = reps.agg(F.sum("size")).first()[0] or 0
+    nothing = reps.select(F.col("id").alias("a"), F.col("id").alias("b"), "size").limit(0)
+    if not total:
+        return nothing
+    keyed = texts.where("id is not null")
+    ranges, width, bitmaps = _uneven(keyed, total)
+    uneven = docs.sparkSession.sparkContext.broadcast(bitmaps)
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "size": frame["size"], "hs": [shingles(t).view(np.int64) for t in frame["text"]]})
+            out = []
+            for k, t in zip(frame["id"], frame["text"]):
+                found = shingles(t)
+                if len(found) and _in_uneven(found, ranges, width, uneven.value) >= CONTAINMENT * len(found) - 1e-9:
+                    out.append((k, len(found), found.view(np.int64)))
+            yield pd.DataFrame(out, columns=["id", "size", "hs"])
 
-    whole = by_bytes(asks.join(texts, "id").select("id", "size", "text")).mapInPandas(shingled, "id bigint, size int, hs array<bigint>")
-    whole = stash(whole.select("id", "size", F.explode("hs").alias("h")).distinct(), "questions")
+    asks = by_bytes(keyed).mapInPandas(ask, "id bigint, size int, hs array<bigint>").join(reps.select("id", "size").distinct(), ["id", "size"], "left_semi")
+    whole = stash(asks.select("id", "size", F.explode("hs").alias("h")).distinct(), "questions")
     if whole.isEmpty():
-        return asks.select(F.col("id").alias("a"), F.col("id").alias("b"), "size").limit(0)
-    # a container holds probes of what it contains
-    sought = probes.join(asks.select("id"), "id", "left_semi").groupBy("h").agg(F.min("size").alias("least"))
-    within = stash(seen.join(sought, "h").where(F.col("larger") > RATIO * F.col("least")).select(F.col("b").alias("id")).distinct(), "within")
-    where = _sightings(docs, reps, whole.select("h"), key, text, within)
-    found = stash(_seen_larger(whole, _tops(where, 1)), "sighted")
-    sure = found.groupBy("id", "size").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= share).select("id", "size")
-    rarest = Window.partitionBy("id").orderBy("n", "h")
+        return nothing
+    where = _sightings(docs, reps, whole.select("h").distinct(), key, text)
+    tops = where.groupBy("h").agg(F.max("larger").alias("top"), F.count(F.lit(1)).alias("n"))
+    found = stash(whole.join(tops, "h").where(F.col("top") > RATIO * F.col("size")).select("id", "size", "h", "n"), "sighted")
+    share = F.ceil(F.col("size") * CONTAINMENT - 1e-9)
+    sure = found.groupBy("id", "size").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= share)
     # a container lacks at most a fifth: of so many of the shingles that stand in larger sets it holds one
-    enough = F.col("m") - share + 1
-    found = found.join(sure, ["id", "size"], "left_semi").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("id")))
-    few = stash(found.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= enough).select("id", "size", "h", "b"), "rarest")
-    named = Window.partitionBy("id").orderBy(F.desc("n"), "b")
-    pairs = few.groupBy("id", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", F.row_number().over(named)).where(F.col("rank") <= TRIES)
-    pairs = stash(pairs.select(F.col("id").alias("a"), "b"), "pairs")
-    held = stash(_check(pairs, texts, contained), "containers")
-    rest = few.join(held.select(F.col("a").alias("id")), "id", "left_anti").select("id", "size", "h")
-    more = rest.join(where, "h").where(F.col("larger") > RATIO * F.col("size")).select(F.col("id").alias("a"), "b").distinct()
-    more = stash(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        held = held.unionByName(_check(more, texts, contained))
+    rarest = Window.partitionBy("id", "size").orderBy("n", "h")
+    few = found.join(sure, ["id", "size"]).withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= F.col("m") - share + 1)
+    pairs = few.select("id", "size", "h").join(where, "h").where(F.col("larger") > RATIO * F.col("size")).select(F.col("id").alias("a"), "b").distinct()
+    held = stash(_check(stash(pairs, "pairs"), texts, contained), "containers")
     return held.join(reps.select(F.col("id").alias("b"), "size"), "b").select("a", "b", "size")
 
 
@@ -464,8 +501,12 @@ def _attach(labels: DataFrame, found: DataFrame) -> DataFrame:
     return every.join(new, "label", "left").select("id", F.coalesce("core", "label").alias("label"))
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id) of every row of ``docs``; class_id is the least key of the class's core."""
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", links_too: bool = True) -> DataFrame:
+    """(key, class_id, set_id, contains) of every row of ``docs``; class_id is the least key of the class's core.
+
+    set_id is the least key of the rows with the same shingle set. The row of that key names in ``contains`` all sets that its set
+    contains beyond ``RATIO``, so each link is there once; null if there are none. Without ``links_too`` these two are left out.
+    """
     sketches = stash(_sketches(docs, key, text), "sketches")
     sets = sketches.groupBy("set_hash").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n"))
     reps = sketches.where("size > 0 and key is not null").join(sets.select("id", F.col("set_hash").alias("h")), (F.col("h") == F.col("set_hash")) & (F.col("key") == F.col("id")), "left_semi")
@@ -508,16 +549,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             if not more.isEmpty():
                 labels = components(links.unionByName(more))
     unstash(rows)
-    labels = _attach(labels, _containers(docs, reps.select("id", "set_hash", "size", "probes"), plain, key, text))
+    containers = _containers(docs, reps.select("id", "set_hash", "size"), plain, key, text)
+    labels = _attach(labels, containers)
     named = sets.join(labels, "id", "left").select("set_hash", "id", "n", F.coalesce("label", "id").alias("label"))
     # rows of one set are dealt out over SALTS tasks; only sets of several rows are repeated for that, others join by their one row
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
-    dups = named.where("n > 1").select(F.col("set_hash").alias("__h"), F.lit(True).alias("__dup"), F.col("label").alias("__d"), salts)
+    dups = named.where("n > 1").select(F.col("set_hash").alias("__h"), F.lit(True).alias("__dup"), F.col("label").alias("__d"), F.col("id").alias("__s"), salts)
     alone = named.where("n = 1").select(F.col("id").alias("__k"), F.col("set_hash").alias("__h"), F.col("label").alias("__a"))
     rows = sketches.select(F.col("key").alias("__k"), F.col("set_hash").alias("__h"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("__salt"))
     out = rows.join(dups, ["__h", "__salt"], "left").join(alone, ["__k", "__h"], "left")
     class_id = F.when(F.col("__dup"), F.col("__d")).otherwise(F.coalesce("__a", "__k"))
-    return out.select(F.col("__k").alias(key), class_id.alias("class_id"))
+    out = out.select(F.col("__k").alias(key), class_id.alias("class_id"), F.when(F.col("__dup"), F.col("__s")).otherwise(F.col("__k")).alias("set_id"))
+    if not links_too:
+        return out.select(key, "class_id")
+    held = containers.groupBy(F.col("b").alias("__b")).agg(F.sort_array(F.collect_set("a")).alias("contains"))
+    return out.join(held, (F.col(key) == F.col("__b")) & (F.col("set_id") == F.col("__b")), "left").select(key, "class_id", "set_id", "contains")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -525,7 +571,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Rows of a null id can't be named by a class: of these, one of each text stays.
     """
-    found = classes(docs.where(F.col(key).isNotNull()), key, text).where(F.col(key) == F.col("class_id")).select(F.col(key).alias(f"{P}k")).distinct()
+    found = classes(docs.where(F.col(key).isNotNull()), key, text, links_too=False).where(F.col(key) == F.col("class_id")).select(F.col(key).alias(f"{P}k")).distinct()
     kept = docs.join(found, F.col(key) == F.col(f"{P}k"), "left_semi")
     if docs.where(F.col(key).isNull()).isEmpty() and kept.groupBy(key).agg(F.count(F.lit(1)).alias(f"{P}n")).where(F.col(f"{P}n") > 1).isEmpty():
         return kept

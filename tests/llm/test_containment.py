@@ -88,6 +88,27 @@ def test_containers_that_the_first_try_misses_are_found(spark):
     assert got[0] == got[1] == 1 and len(set(got.values())) == 13
 
 
+@pytest.mark.parametrize("bits", [15, 29])
+def test_every_container_is_listed(spark, monkeypatch, bits):
+    """Also of texts that barely have one, and where the filters are full."""
+    monkeypatch.setattr(neardup, "FILTER_BITS", bits)
+    rows = [t for _, t in planted()]
+    for n in RNG.integers(9, 200, 60).tolist():
+        part = WORD(n)
+        least = -(-4 * (n - 4) // 5)
+        rows += [" ".join(part), " ".join(WORD(n) + part[n - least - 4 :] + WORD(n)), " ".join(WORD(n) + part[n - least - 3 :] + WORD(n))]
+    rows = [(i, t) for i, t in enumerate([*rows, *rows[:40]])]
+    sets = {k: frozenset(tuples(t)) for k, t in rows}
+    least = {}
+    for k, x in sets.items():
+        least.setdefault(x, k)
+    want = {(least[a], least[b]) for a in least for b in least if len(b) > 1.25 * len(a) and len(a & b) >= 0.8 * len(a) - 1e-9}
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.set_id for r in found} == {k: least[x] for k, x in sets.items()}
+    listed = [(a, r.doc_id) for r in found for a in r.contains or []]
+    assert len(found) == len(rows) and len(listed) == len(set(listed)) and set(listed) == want and len(want) > 300
+
+
 @pytest.mark.parametrize("bits", [15, 29])
 def test_filter_lets_all_of_its_hashes_pass(spark, monkeypatch, bits):
     monkeypatch.setattr(neardup, "FILTER_BITS", bits)
