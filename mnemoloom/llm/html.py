@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-For each host up to ``REFERENCES`` pages are picked, one for each residue of a hash of the page id. Their DOM trees of blocks
-(with runs of like siblings folded into one repeated node) are aligned one after the other by simple tree matching, the
-largest set of node pairs that keeps parents and order. A wrapper node counts on how many pages each block text stands in
-its place: a text on ``CONSTANT`` of them or more, and on ``LEAST_PAGES`` at least, is template, the others fill slots. The
+The DOM trees of blocks (with runs of like siblings folded into one repeated node) of all pages of a host are aligned one
+after the other by simple tree matching, the largest set of node pairs that keeps parents and order. Nodes that stand on
+``LEAST_PAGES`` pages make the host's wrapper. All pages are aligned with that, to count on how many each block text stands
+in a node's place: a text on ``CONSTANT`` of them or more, and on ``LEAST_PAGES`` at least, is template, the others fill slots. The
 article is where the slots are: from the root down, the child that holds ``MAIN`` of the varying text outside links is
 followed, and the last such node is the main node. Extraction aligns each page with its host's wrapper, keeps what is below
 its main node and leaves out template. Within that, menus, notices, adverts, forms and comments that vary from page to page
@@ -11,14 +11,15 @@ go by their elements, roles and class names. Pages that no wrapper covers (a hos
 pages, another layout) keep their article or main elements, or all if they have none. Where template would take more than half of
 a page's article, the article itself stands on many pages of the host, and its paragraphs and headings stay.
 
-Scale: picking references reads ids and urls, with partial minima; a wrapper keeps nodes that stand on ``LEAST_PAGES``
-reference pages, so its size is bounded by theirs. Wrappers are broadcast if there are at most ``BROADCAST_HOSTS`` hosts,
-else the pages are joined to them by host. Pages are otherwise handled where they are read, so a host with a third of all
-pages is as spread out as the rest.
+Scale: pages of one shape are merged once, with their number. A host's shapes are merged in blocks of ``SHAPES``, the wrappers
+of blocks by ``REFERENCES`` until there is one; texts are counted where pages are read, by 64-bit names. So one task holds a
+host's wrapper, never its pages. Wrappers are broadcast if there are at most ``BROADCAST_HOSTS`` hosts, else the pages are
+joined to them by host. Pages are otherwise handled where they are read, so a host with a third of all pages is as spread out
+as the rest.
 
 Defined cases: a null or empty page has an empty text; a null url has no host and gets no wrapper; unclosed and misnested
 tags are closed where a block begins or a parent ends; very long pages are parsed whole in one pass, nesting beyond
-``MAX_DEPTH`` is flattened; repeated rows give repeated rows, and count once as references; an empty table gives an empty
+``MAX_DEPTH`` is flattened; repeated rows give repeated rows, and equal pages of a host count once; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -26,17 +27,21 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemoloom.llm.batches import by_bytes
 from mnemoloom.session import stash
 
-REFERENCES, LEAST_PAGES, BROADCAST_HOSTS = 16, 3, 20_000
+LEAST_PAGES, BROADCAST_HOSTS, BROADCAST_PLACES = 3, 20_000, 1_000_000
+#: Different shapes of pages that one task merges to a wrapper, and wrappers of a host that one task then merges.
+SHAPES, REFERENCES = 256, 16
 #: Share of the pages with a node on which a text must stand there to be template.
 CONSTANT = 0.5
 #: Share of a node's varying text that one of its children must hold to be where the article is; weight of text in article elements.
@@ -259,67 +264,55 @@ def match(a, b, pairs: list) -> int:
 
 
 class Wrapper:
-    """A node of a wrapper: on how many pages it stood, and on how many each text of a block in its place did.
+    """A node of a wrapper: on how many pages it stood.
 
-    ``common`` are the texts that make its blocks template, ``main`` marks the node that holds the article.
+    ``common`` are the names of the texts that make its blocks template, ``main`` marks the node that holds the article.
     """
 
-    __slots__ = ("label", "tag", "seen", "texts", "common", "main", "kids")
+    __slots__ = ("label", "tag", "seen", "common", "main", "kids")
 
-    def __init__(self, label: str, tag: str):
-        self.label, self.tag, self.seen, self.texts, self.common, self.main, self.kids = label, tag, 0, {}, frozenset(), False, []
+    def __init__(self, label: str, tag: str, seen: int = 0):
+        self.label, self.tag, self.seen, self.common, self.main, self.kids = label, tag, seen, frozenset(), False, []
 
-    def add(self, tree: Folded) -> None:
-        """Count one page's nodes in this place."""
-        self.seen += 1
-        own: dict[str, list] = {}
-        for n in tree.nodes:
-            text, linked = own_text(n)
-            if text:
-                held = own.setdefault(text, [0, 0.0])
-                held[0] = 1
-                held[1] += max(0, len(text) - linked) * (REGION_WEIGHT if n.region else 1)
-        for text, (_, mass) in own.items():
-            held = self.texts.setdefault(text, [0, 0.0])
-            held[0] += 1
-            held[1] += mass
-
-    @classmethod
-    def of(cls, tree: Folded) -> Wrapper:
-        out = cls(tree.label, tree.tag)
-        out.add(tree)
-        out.kids = [cls.of(k) for k in tree.kids]
-        return out
-
-    def merge(self, tree: Folded) -> None:
-        """Align ``tree`` with this wrapper; nodes that it lacks are added after their aligned left neighbour."""
+    def merge(self, other: Wrapper) -> None:
+        """Align ``other`` with this wrapper; nodes that it lacks are added after their aligned left neighbour."""
         pairs: list = []
-        match(self, tree, pairs)
+        match(self, other, pairs)
         mine = {id(t): w for w, t in pairs}
         for w, t in pairs:
-            w.add(t)
+            w.seen += t.seen
             at, places = 0, None
             for kid in t.kids:
                 if (own := mine.get(id(kid))) is not None:
                     places = places or {id(x): i for i, x in enumerate(w.kids)}
                     at = places[id(own)] + 1
                 else:
-                    w.kids.insert(at, Wrapper.of(kid))
+                    w.kids.insert(at, kid)
                     at, places = at + 1, None
 
-    def settle(self) -> None:
-        """Template texts of every node, rare nodes pruned, and the node that holds the article.
+    def nodes(self) -> list[Wrapper]:
+        """All nodes in the order of :meth:`dump`."""
+        out, stack = [], [self]
+        while stack:
+            out.append(stack.pop())
+            stack += reversed(out[-1].kids)
+        return out
+
+    def prune(self) -> None:
+        """Drop what stood on fewer than ``LEAST_PAGES`` pages."""
+        for w in self.nodes():
+            w.kids = [k for k in w.kids if k.seen >= LEAST_PAGES]
 
-        The mass of a node is its varying text outside links, here and below; in article elements it counts ``REGION_WEIGHT`` times.
+    def settle(self, own: list[int]) -> None:
+        """Mark the node that holds the article.
+
+        The mass of a node is its varying text outside links, ``own`` by node, and that below; in article elements it counts
+        ``REGION_WEIGHT`` times.
         """
-        order = [self]
-        for w in order:
-            w.common = frozenset(t for t, (n, _) in w.texts.items() if n >= max(LEAST_PAGES, CONSTANT * w.seen))
-            order += w.kids
-        mass: dict[int, float] = {}
-        for w in reversed(order):
-            own = sum(m for t, (_, m) in w.texts.items() if t not in w.common) if w.tag not in UNSEEN else 0
-            mass[id(w)] = own + sum(mass[id(k)] for k in w.kids)
+        order = self.nodes()
+        mass: dict[int, int] = {}
+        for w, m in zip(reversed(order), reversed(own)):
+            mass[id(w)] = m + sum(mass[id(k)] for k in w.kids)
         node = self
         while node.kids and mass[id(node)]:
             best = max(node.kids, key=lambda k: mass[id(k)])
@@ -327,23 +320,21 @@ class Wrapper:
                 break
             node = best
         node.main = node.tag not in ("#", "html", "body")
-        for w in order:
-            w.kids = [k for k in w.kids if k.seen >= LEAST_PAGES]
 
     def dump(self) -> list:
-        """Rows (parent's row, label, tag, common texts, main), parents first."""
-        rows, stack = [], [(self, -1)]
-        while stack:
-            w, parent = stack.pop()
-            rows.append([parent, w.label, w.tag, sorted(w.common), w.main])
-            stack += [(k, len(rows) - 1) for k in reversed(w.kids)]
+        """Rows (parent's row, label, tag, common texts, main, pages), parents first."""
+        at: dict[int, int] = {id(self): -1}
+        rows = []
+        for i, w in enumerate(self.nodes()):
+            rows.append([at[id(w)], w.label, w.tag, sorted(w.common), w.main, w.seen])
+            at.update((id(k), i) for k in w.kids)
         return rows
 
     @classmethod
     def load(cls, rows: list) -> Wrapper:
         made = []
-        for parent, label, tag, common, main in rows:
-            w = cls(label, tag)
+        for parent, label, tag, common, main, seen in rows:
+            w = cls(label, tag, seen)
             w.common, w.main = frozenset(common), main
             made.append(w)
             if parent >= 0:
@@ -351,19 +342,97 @@ class Wrapper:
         return made[0]
 
 
+def name_of(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def outline(page: str) -> tuple[str, list[tuple[int, int, int]]]:
+    """(shape, texts) of a page: its folded nodes (parent, label, tag), parents first, as JSON, and (node, name, mass) of each text there."""
+    rows, texts, stack = [], [], [(fold([parse(page)]), -1)]
+    while stack:
+        tree, parent = stack.pop()
+        own: dict[int, int] = {}
+        for n in tree.nodes:
+            text, linked = own_text(n)
+            if text:
+                name = name_of(text)
+                own[name] = own.get(name, 0) + max(0, len(text) - linked) * (REGION_WEIGHT if n.region else 1)
+        texts += [(len(rows), name, mass) for name, mass in own.items()]
+        rows.append([parent, tree.label, tree.tag])
+        stack += [(k, len(rows) - 1) for k in reversed(tree.kids)]
+    return json.dumps(rows), texts
+
+
+def shaped(shape: str, seen: int) -> Wrapper:
+    """The wrapper of ``seen`` pages of one shape."""
+    return Wrapper.load([[*row, (), False, seen] for row in json.loads(shape)])
+
+
+def merged(parts: list[Wrapper]) -> Wrapper:
+    for part in parts[1:]:
+        parts[0].merge(part)
+    return parts[0]
+
+
+def skeleton(shapes: Iterable[tuple[str, int]]) -> Wrapper:
+    """What pages of these shapes, given with the number of pages of each, have in common: the most frequent first."""
+    return merged([shaped(s, n) for s, n in sorted(shapes, key=lambda x: (-x[1], x[0]))])
+
+
+def places(wrapper: Wrapper, shape: str) -> list[tuple[int, bool]]:
+    """For each node of ``shape`` the place of its node in ``wrapper`` and True, or of the nearest above that has one and False."""
+    rows, pairs = json.loads(shape), []
+    tree = shaped(shape, 1)
+    match(wrapper, tree, pairs)
+    number = {id(w): i for i, w in enumerate(wrapper.nodes())}
+    mine = {id(t): number[id(w)] for w, t in pairs}
+    out: list[tuple[int, bool]] = []
+    for (parent, *_), t in zip(rows, tree.nodes()):
+        at = mine.get(id(t))
+        out.append((at, True) if at is not None else (out[parent][0], False))
+    return out
+
+
+def tally(where: list[tuple[int, bool]], texts: Iterable[tuple[int, int, int]]) -> Iterator[tuple[int, int | None, int, int]]:
+    """(place, name, pages, mass) of one page: each place's page under no name, with the mass of what has no place of its own; then each text."""
+    seen = {at: 0 for at, _ in where}
+    named: dict[tuple[int, int], int] = {}
+    for node, name, mass in texts:
+        at, own = where[node]
+        if own:
+            named[at, name] = named.get((at, name), 0) + mass
+        else:
+            seen[at] += mass
+    yield from ((at, None, 1, mass) for at, mass in seen.items())
+    yield from ((at, name, 1, mass) for (at, name), mass in named.items())
+
+
+def is_common(n, seen):
+    """Whether a text on ``n`` of a node's ``seen`` pages is template; of numbers or columns."""
+    return (n >= LEAST_PAGES) & (n >= CONSTANT * seen)
+
+
 def induce(pages: list[str]) -> Wrapper | None:
-    """The wrapper of a host's ``pages``; None if too few differ."""
-    different = list(dict.fromkeys(pages))
-    if len(different) < LEAST_PAGES:
+    """The wrapper of a host's ``pages``; None if too few differ. As :func:`wrappers` does, in one place."""
+    outlines = [outline(p) for p in dict.fromkeys(pages)]
+    if len(outlines) < LEAST_PAGES:
         return None
-    wrapper = None
-    for page in different:
-        tree = fold([parse(page)])
-        if wrapper is None:
-            wrapper = Wrapper.of(tree)
+    wrapper = skeleton(Counter(shape for shape, _ in outlines).items())
+    wrapper.prune()
+    sums: dict[tuple, list[int]] = {}
+    for shape, texts in outlines:
+        for at, name, n, mass in tally(places(wrapper, shape), texts):
+            held = sums.setdefault((at, name), [0, 0])
+            held[0] += n
+            held[1] += mass
+    order = wrapper.nodes()
+    own = [0] * len(order)
+    for (at, name), (n, mass) in sums.items():
+        if name is not None and is_common(n, sums[at, None][0]):
+            order[at].common |= {name}
         else:
-            wrapper.merge(tree)
-    wrapper.settle()
+            own[at] += mass
+    wrapper.settle(own)
     return wrapper
 
 
@@ -376,7 +445,7 @@ def align(root: Node, wrapper: Wrapper | None) -> tuple[set[int], set[int]]:
     template, main = set(), set()
     for w, t in pairs:
         if w.common:
-            template.update(id(n) for n in t.nodes if own_text(n)[0] in w.common)
+            template.update(id(n) for n in t.nodes if name_of(own_text(n)[0]) in w.common)
         if w.main:
             main.update(id(n) for n in t.nodes)
     return template, main
@@ -463,28 +532,102 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def wrappers(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(host, wrapper) for every host with enough different pages; the wrapper as JSON."""
-    ids = pages.select(F.col(key).alias("k"), host_of(F.col(url)).alias("host")).where("host is not null and k is not null")
-    h = F.xxhash64("k")
-    picked = ids.groupBy("host", F.pmod(h, F.lit(REFERENCES)).alias("slot")).agg(F.min(F.struct(h.alias("h"), "k")).alias("m")).select("host", F.col("m.k").alias("k"))
-    picked = stash(picked, "references")
-    small = picked.count() <= REFERENCES * BROADCAST_HOSTS
-    texts = pages.select(F.col(key).alias("k"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    # rows that repeat a picked id add one page of each text at most
-    references = texts.join(F.broadcast(picked) if small else picked, ["k", "host"], "left_semi").groupBy("host", "k").agg(F.min("html").alias("html"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = induce([t for t in frame.sort_values("k")["html"] if t])
-        rows = [(frame["host"].iloc[0], json.dumps(found.dump()))] if found else []
-        return pd.DataFrame(rows, columns=["host", "wrapper"])
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for host, page in zip(frame["host"], frame["html"]):
+                shape, texts = outline(page)
+                rows.append((host, xxhash.xxh3_128_hexdigest(page.encode("utf-8", "surrogatepass")), shape, *([t[i] for t in texts] for i in range(3))))
+            yield pd.DataFrame(rows, columns=["host", "page", "shape", "nodes", "names", "masses"])
+
+    rows = by_bytes(pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host is not null and html <> ''"))
+    drawn = rows.mapInPandas(draw, "host string, page string, shape string, nodes array<int>, names array<bigint>, masses array<bigint>")
+    drawn = stash(drawn.dropDuplicates(["host", "page"]), "outlines")
+    enough = drawn.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("host")
+    shapes = stash(drawn.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")).join(enough, "host", "left_semi"), "shapes")
+
+    def part(frame: pd.DataFrame) -> pd.DataFrame:
+        made = skeleton(zip(frame["shape"], frame["n"].tolist()))
+        return pd.DataFrame([(frame["host"].iloc[0], frame["block"].iloc[0], json.dumps(made.dump()))], columns=["host", "block", "wrapper"])
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        made = merged([Wrapper.load(json.loads(w)) for w in frame.sort_values("block")["wrapper"]])
+        return pd.DataFrame([(frame["host"].iloc[0], frame["into"].iloc[0], json.dumps(made.dump()))], columns=["host", "block", "wrapper"])
+
+    many = shapes.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / SHAPES).alias("blocks"))
+    dealt = shapes.join(many, "host").withColumn("block", F.pmod(F.xxhash64("shape"), F.col("blocks")).cast("int")).select("host", "block", "shape", "n")
+    parts = stash(dealt.groupBy("host", "block").applyInPandas(part, "host string, block int, wrapper string"), "parts")
+    while (parts.agg(F.max("block")).first()[0] or 0) > 0:
+        into = parts.withColumn("into", F.floor(F.col("block") / REFERENCES).cast("int"))
+        parts = stash(into.groupBy("host", "into").applyInPandas(join, "host string, block int, wrapper string"), "parts")
+
+    def pruned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = [Wrapper.load(json.loads(w)) for w in frame["wrapper"]]
+            for w in made:
+                w.prune()
+            yield pd.DataFrame({"host": frame["host"], "wrapper": [json.dumps(w.dump()) for w in made]})
+
+    whole = stash(by_bytes(parts.select("host", "wrapper")).mapInPandas(pruned, "host string, wrapper string"), "skeletons")
+    small = whole.count() <= BROADCAST_HOSTS
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded: dict[str, Wrapper] = {}
+        known: dict[tuple, list] = {}
+        for frame in frames:
+            sums: dict[tuple, list[int]] = {}
+            for host, shape, wrapper, *texts in zip(*(frame[c] for c in ("host", "shape", "wrapper", "nodes", "names", "masses"))):
+                if host not in loaded:
+                    if len(loaded) > 500:
+                        loaded.clear()
+                    loaded[host] = Wrapper.load(json.loads(wrapper))
+                if (host, shape) not in known:
+                    if len(known) > 5000:
+                        known.clear()
+                    known[host, shape] = places(loaded[host], shape)
+                for at, name, n, mass in tally(known[host, shape], zip(*(t.tolist() for t in texts))):
+                    held = sums.setdefault((host, at, name), [0, 0])
+                    held[0] += n
+                    held[1] += mass
+            out = pd.DataFrame([(host, at, *v) for (host, at, _), v in sums.items()], columns=["host", "place", "n", "mass"])
+            out.insert(2, "name", pd.array([name for *_, name in sums], dtype="Int64"))  # no way by floats
+            yield out
+
+    met = by_bytes(drawn.join(F.broadcast(whole) if small else whole, "host").select("host", "shape", "wrapper", "nodes", "names", "masses"))
+    sums = met.mapInPandas(count, "host string, place int, name bigint, n bigint, mass bigint")
+    sums = stash(sums.groupBy("host", "place", "name").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")), "tallies")
+    # sums by place first, so that no task holds all texts of a place
+    total = sums.groupBy("host", "place").agg(F.sum(F.when(F.col("name").isNull(), F.col("n"))).alias("seen"), F.sum("mass").alias("mass"))
+    total = stash(total, "places")
+    seen = total.select("host", "place", "seen")
+    often = sums.where(F.col("name").isNotNull() & (F.col("n") >= LEAST_PAGES)).join(F.broadcast(seen) if seen.count() <= BROADCAST_PLACES else seen, ["host", "place"])
+    common = often.where(is_common(F.col("n"), F.col("seen"))).groupBy("host", "place").agg(F.collect_list("name").alias("common"), F.sum("mass").alias("less"))
+    facts = total.join(common, ["host", "place"], "left")
+    facts = facts.select("host", "place", F.coalesce("common", F.array().cast("array<bigint>")).alias("common"), (F.col("mass") - F.coalesce("less", F.lit(0))).alias("own"))
+    facts = facts.groupBy("host").agg(F.collect_list("place").alias("places"), F.collect_list("common").alias("commons"), F.collect_list("own").alias("owns"))
+
+    def settled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            made = []
+            for wrapper, at, commons, owns in zip(*(frame[c] for c in ("wrapper", "places", "commons", "owns"))):
+                w = Wrapper.load(json.loads(wrapper))
+                order = w.nodes()
+                own = [0] * len(order)
+                for i, names, mass in zip(at.tolist(), commons, owns.tolist()):
+                    order[i].common, own[i] = frozenset(names.tolist()), mass
+                w.settle(own)
+                made.append(json.dumps(w.dump()))
+            yield pd.DataFrame({"host": frame["host"], "wrapper": made})
 
-    return references.groupBy("host").applyInPandas(run, "host string, wrapper string")
+    return by_bytes(whole.join(facts, "host")).mapInPandas(settled, "host string, wrapper string")
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page."""
-    found = stash(wrappers(pages, key, url, html), "wrappers")
+    found = stash(wrappers(pages, url, html), "wrappers")
     small = found.count() <= BROADCAST_HOSTS
     rows = pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     joined = by_bytes(rows.join(F.broadcast(found) if small else found, "host", "left").select("k", "url", "html", "wrapper"))

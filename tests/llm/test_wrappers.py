@@ -1,5 +1,6 @@
 """Wrapper induction against planted articles and a naive matcher."""
 
+import json
 import random
 import re
 from functools import cache
@@ -104,3 +105,19 @@ def test_a_host_with_repeated_rows(spark):
     rows = [(i, f"http://h/{i}", soup(a)) for i, a in enumerate(articles)] * 3
     got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 18 and all(r.text == "\n\n".join(articles[r.page_id]) for r in got)
+
+
+def test_every_page_of_a_host_counts(spark, monkeypatch):
+    """A line that a tenth of 300 pages hold in its own place is template, and one on all pages of a rare layout; the parts merge to one wrapper."""
+    page = lambda i: soup([SAY(25), SAY(25)]).replace("<div class=q4>", f"<div class=q4>{SAY(3)}</div><div class=q5>Legal</div><div class=q6>" if i % 10 == 0 else "<div class=q4>")
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(300)]
+    rows += [(300 + i, f"http://h/{i}", f"<body><main><section class=r1><h2>Rare part</h2><p>{SAY(30)}</p></section></main></body>") for i in range(3)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    (whole,) = [json.loads(r.wrapper) for r in html.wrappers(frame).collect()]
+    assert whole == html.induce([p for _, _, p in rows]).dump()
+    seen = {label: (pages, common) for _, label, _, common, _, pages in whole}
+    assert seen["#"][0] == 303 and seen["div.q3"][0] == 300
+    assert seen["div.q5"] == (30, [html.name_of("Legal")]) and seen["h2"] == (3, [html.name_of("Rare part")])
+    monkeypatch.setattr(html, "SHAPES", 1)
+    (parts,) = [json.loads(r.wrapper) for r in html.wrappers(frame).collect()]
+    assert sorted(map(str, (r[1:] for r in parts))) == sorted(map(str, (r[1:] for r in whole)))
