@@ -115,9 +115,15 @@ def runs(text: str | None, words: int = WORDS) -> np.ndarray:
     return _mixed((total[end] - total[begin]) * down[begin] + size * np.uint64(0xD6E8FEB86659FD93))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; many times as fast as np.unique, which hashes them."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of :func:`runs`."""
-    return np.unique(runs(text, words))
+    return distinct(runs(text, words))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -362,7 +368,7 @@ def _sightings(docs: DataFrame, reps: DataFrame, wanted: DataFrame, key: str, te
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hits = [np.unique(_passes(runs(t), bits, held.value)).view(np.int64) for t in frame["text"]]
+            hits = [distinct(_passes(runs(t), bits, held.value)).view(np.int64) for t in frame["text"]]
             yield pd.DataFrame({"id": frame["id"], "hits": hits})
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
@@ -373,7 +379,7 @@ def _sightings(docs: DataFrame, reps: DataFrame, wanted: DataFrame, key: str, te
 
 def _ends(packed: np.ndarray) -> np.ndarray:
     """Of numbers hash * 256 + code the least and the greatest of each hash, sorted."""
-    packed = np.unique(packed)
+    packed = distinct(packed)
     new = packed[1:] >> np.uint64(8) != packed[:-1] >> np.uint64(8)
     keep = np.ones(len(packed), dtype=bool)
     keep[1:-1] = new[1:] | new[:-1]
@@ -408,7 +414,7 @@ def _uneven(rows: DataFrame, total: int) -> tuple[int, int, np.ndarray]:
             for t in frame["text"]:
                 found = runs(t)
                 if len(found):
-                    code = np.uint64(math.log(len(np.unique(found))) / math.log(SIZE_STEP))
+                    code = np.uint64(math.log(len(distinct(found))) / math.log(SIZE_STEP))
                     held.append(found >> np.uint64(32 - ranges) << np.uint64(8) | code)
                     n += len(found)
                 if n >= DEALT:
