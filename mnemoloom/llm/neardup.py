@@ -63,6 +63,10 @@ CHUNK = 256
 #: Rounds of hubs after the first.
 MORE_ROUNDS = 3
 P = "__n_"
+#: Characters of texts that are hashed in one go, few enough to stay in a processor's cache.
+GROUP = 1 << 17
+#: White space beyond ASCII as str.split has it: its UTF-8, three bytes or two and a zero byte, as a number.
+_BLANKS = np.array([int.from_bytes(chr(i).encode().ljust(3, b"\0")) for i in range(128, 0x3001) if chr(i).isspace()])
 #: Tasks that the rows of one shingle set are dealt out to.
 SALTS = 16
 #: Members of a bucket, and their shingles, that make up a block.
@@ -95,24 +99,68 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def runs(text: str | None, words: int = WORDS) -> np.ndarray:
-    """64-bit hashes of the runs of ``words`` words in order; of the whole text if it is shorter.
+def _hashed(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of all ``texts``, one text after the other, and where each text's begin and the last one's end.
 
-    A rolling hash over the bytes of the text with single blanks: a run's hash is a difference of two prefix sums.
+    A rolling hash over the bytes of the words with single blanks: a run's hash is a difference of two prefix sums.
     """
-    parts = text.split() if text else []
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    data = np.frombuffer(" ".join(parts).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = np.frombuffer(b" ".join([*parts, b"  "]), dtype=np.uint8)
+    within = lambda low, high: data - np.uint8(low) <= high - low
+    blank = within(9, 13) | within(28, 32)
+    at = np.flatnonzero((data == 0xC2) | within(0xE1, 0xE3))  # the bytes that begin one of _BLANKS
+    if len(at):
+        code = data[at].astype(np.int64) << 16 | data[at + 1].astype(np.int64) << 8 | np.where(data[at] < 0xE0, 0, data[at + 2])
+        at, code = at[held := np.isin(code, _BLANKS)], code[held]
+        blank[at] = blank[at + 1] = True
+        blank[at[code & 255 > 0] + 2] = True
+    after = np.append(True, blank[:-1])
+    first = np.searchsorted(np.flatnonzero(after & ~blank), np.cumsum([0, *(len(x) + 1 for x in parts)]))
+    keep = ~(after & blank)
+    data, ends = data[keep], np.flatnonzero(blank[keep])
+    data[ends] = 32
     up, down = _POWERS.upto(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    gaps = np.flatnonzero(data == 32)
-    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
-    n = max(1, len(starts) - words + 1)
-    begin, end = starts[:n], ends[len(ends) - n :]
+    starts = np.append(0, ends + 1)
+    n = np.diff(first)
+    n = np.where(n > 0, np.maximum(1, n - words + 1), 0)
+    offsets = np.append(0, np.cumsum(n))
+    at = np.arange(offsets[-1]) + np.repeat(first[:-1] - offsets[:-1], n)
+    begin, end = starts[at], ends[np.minimum(at + words, np.repeat(first[1:], n)) - 1]
     size = (end - begin).astype(np.uint64)
-    return _mixed((total[end] - total[begin]) * down[begin] + size * np.uint64(0xD6E8FEB86659FD93))
+    return _mixed((total[end] - total[begin]) * down[begin] + size * np.uint64(0xD6E8FEB86659FD93)), offsets
+
+
+def grouped(texts: list[str | None], words: int = WORDS) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(which texts, hashes, offsets): 64-bit hashes of the runs of ``words`` words in order, of the whole text if it is shorter.
+
+    Text i of a group has those from offsets[i] to offsets[i + 1]. Groups have about ``GROUP`` characters; a longer text is one by itself.
+    """
+    lo = n = 0
+    for hi, t in enumerate(texts):
+        if n and n + len(t or "") > GROUP:
+            yield slice(lo, hi), *_hashed(texts[lo:hi], words)
+            lo, n = hi, 0
+        n += len(t or "") + 1
+    if lo < len(texts):
+        yield slice(lo, len(texts)), *_hashed(texts[lo:], words)
+
+
+def grouped_sets(texts: list[str | None], words: int = WORDS) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """As :func:`grouped`, with the sorted distinct hashes of each text."""
+    for at, found, offsets in grouped(texts, words):
+        for i, j in zip(offsets, offsets[1:]):
+            found[i:j].sort()
+        new = np.append(True, found[1:] != found[:-1])[: len(found)]
+        new[offsets[:-1][np.diff(offsets) > 0]] = True
+        yield at, found[new], np.append(0, np.cumsum(new))[offsets]
+
+
+def sets_of(texts: list[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the runs of each text."""
+    for _, found, offsets in grouped_sets(texts, words):
+        yield from (found[i:j] for i, j in zip(offsets, offsets[1:]))
 
 
 def distinct(x: np.ndarray) -> np.ndarray:
@@ -122,8 +170,8 @@ def distinct(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of :func:`runs`."""
-    return distinct(runs(text, words))
+    """Sorted distinct hashes of the runs of one text."""
+    return next(sets_of([text], words))
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -173,10 +221,10 @@ def bands_of(partition: int, containment: float = CONTAINMENT, ratio: float = RA
 
 @lru_cache(maxsize=1)
 def _multipliers() -> np.ndarray:
-    return (_mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1))[:, None]
+    return _mixed(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 
 
-_PRODUCTS = np.empty((HASHES, 512), dtype=np.uint64)
+_PRODUCTS = np.empty((512, HASHES), dtype=np.uint64)
 
 
 def minhash(hashes: np.ndarray) -> np.ndarray:
@@ -184,19 +232,19 @@ def minhash(hashes: np.ndarray) -> np.ndarray:
     out = np.full(HASHES, np.uint64(_MASK))
     for at in range(0, len(hashes), 512):
         part = hashes[at : at + 512]
-        products = _PRODUCTS[:, : len(part)]
-        np.multiply(_multipliers(), part, out=products)
-        np.minimum(out, products.min(axis=1), out=out)
+        products = _PRODUCTS[: len(part)]
+        np.multiply(part[:, None], _multipliers(), out=products)
+        np.minimum(out, products.min(axis=0), out=out)
     return out
 
 
 def band_keys(signature: np.ndarray, partition: int) -> np.ndarray:
-    """A 64-bit key for each band of ``partition``'s index."""
+    """A 64-bit key for each band of ``partition``'s index, of one signature or of each row of several."""
     rows, bands = bands_of(partition)
-    grouped = signature[: rows * bands].reshape(bands, rows)
+    values = signature[..., : rows * bands].reshape(*signature.shape[:-1], bands, rows)
     key = np.full(bands, np.uint64(partition + 1)) * np.uint64(_BASE) + np.arange(bands, dtype=np.uint64)
     for j in range(rows):
-        key = _mixed(key ^ grouped[:, j])
+        key = _mixed(key ^ values[..., j])
     return key.view(np.int64)
 
 
@@ -207,16 +255,18 @@ def _sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
         import xxhash
 
         for frame in frames:
-            out = []
-            for k, t in zip(frame["__key"], frame["__text"]):
-                found = shingles(t)
-                name = xxhash.xxh3_128_hexdigest(found.tobytes())
-                bands = []
-                if len(found):
-                    p, signature = partition_of(len(found)), minhash(found)
-                    bands = np.concatenate([band_keys(signature, p), band_keys(signature, p + 1)])
-                out.append((k, name, len(found), bands))
-            yield pd.DataFrame(out, columns=["key", "set_hash", "size", "bands"])
+            names, sizes, signatures = [], [], np.empty((len(frame), HASHES), dtype=np.uint64)
+            for i, found in enumerate(sets_of(frame["__text"].tolist())):
+                names.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
+                sizes.append(len(found))
+                signatures[i] = minhash(found)
+            bands = [[] for _ in sizes]
+            parts = np.array([partition_of(n) if n else -1 for n in sizes])
+            for p in np.unique(parts[parts >= 0]).tolist():
+                at = np.flatnonzero(parts == p)
+                for i, keys in zip(at, np.hstack([band_keys(signatures[at], p), band_keys(signatures[at], p + 1)])):
+                    bands[i] = keys
+            yield pd.DataFrame({"key": frame["__key"], "set_hash": names, "size": sizes, "bands": bands})
 
     rows = by_bytes(docs.select(F.col(key).cast("string").alias("__key"), F.col(text).alias("__text")))
     made = rows.mapInPandas(run, "key string, set_hash string, size int, bands array<bigint>")
@@ -238,10 +288,9 @@ def _check(pairs: DataFrame, texts: DataFrame, test=linked) -> DataFrame:
         group, hubs = None, []
         for frame in frames:
             out = []
-            for a, b, chunk, member, text in zip(frame["a"], frame["b"], frame["chunk"], frame["member"], frame["text"]):
+            for a, b, chunk, member, found in zip(frame["a"], frame["b"], frame["chunk"], frame["member"], sets_of(frame["text"].tolist())):
                 if (b, chunk) != group:
                     group, hubs = (b, chunk), []
-                found = shingles(text)
                 if not member:
                     hubs.append(found)
                 elif any(test(found, hub) for hub in hubs):
@@ -250,9 +299,10 @@ def _check(pairs: DataFrame, texts: DataFrame, test=linked) -> DataFrame:
 
     many = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     dealt = pairs.select("a", "b").join(many, "b").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")).select("a", "b", "chunk")
-    members = dealt.join(texts.select(F.col("id").alias("a"), "text"), "a").withColumn("member", F.lit(True))
-    hubs = dealt.select("b", "chunk").distinct().join(texts.select(F.col("id").alias("b"), "text"), "b").withColumn("member", F.lit(False)).withColumn("a", F.col("b"))
-    rows = members.unionByName(hubs).repartition("b", "chunk").sortWithinPartitions("b", "chunk", "member")
+    members = dealt.select("a", "b", "chunk", F.lit(True).alias("member"))
+    hubs = dealt.select(F.col("b").alias("a"), "b", "chunk", F.lit(False).alias("member")).distinct()
+    rows = members.unionByName(hubs).join(texts.select(F.col("id").alias("a"), "text"), "a")  # one pass over the texts for both
+    rows = rows.repartition("b", "chunk").sortWithinPartitions("b", "chunk", "member")
     return by_bytes(rows).mapInPandas(run, "a bigint, b bigint").distinct()
 
 
@@ -287,10 +337,14 @@ def _hubs(rows: DataFrame, round_: int) -> DataFrame:
 
 
 def _mixed_buckets(rows: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` (bucket, id, size) without ``hubs``, which have met all members of theirs, of the buckets that still hold several classes."""
+    """``rows`` (bucket, id, size) without ``hubs``, which have met all members of theirs, of the buckets that still hold several classes.
+
+    Of buckets with the same members, by count and 128 bits of their hashes, one stays: it makes the same pairs.
+    """
     rest = rows.select("bucket", "id", "size").join(hubs.select("bucket", F.col("hub").alias("id")), ["bucket", "id"], "left_anti")
     named = rest.join(labels, "id", "left").select("bucket", "id", "size", F.coalesce("label", "id").alias("label"))
-    mixed = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("bucket")
+    of = named.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("mixed"), F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("id", "size", F.lit(i))).alias(f"x{i}") for i in (1, 2)))
+    mixed = of.where("mixed").groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket")
     return stash(named.join(mixed, "bucket", "left_semi"), "mixed")
 
 
@@ -309,7 +363,7 @@ def _check_all(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(t) for t in frame["text"]]
+        sets = list(sets_of(frame["text"].tolist()))
         at = [i for i, x in enumerate(sets) if len(x)]
         frame, sets = frame.iloc[at], [sets[i] for i in at]
         if len(sets) < 2:
@@ -352,13 +406,22 @@ def _filter(probes: DataFrame) -> tuple[int, np.ndarray]:
     return bits, bitmap
 
 
+def _held(bitmap: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Whether the bits ``p`` of a flat bitmap are set."""
+    return bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1
+
+
+def _passing(found: np.ndarray, bits: int, bitmap: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets pass; the second place is looked up for those that pass by the first."""
+    mask = np.uint64((1 << bits) - 1)
+    has = _held(bitmap, found & mask)
+    has[has] = _held(bitmap, found[has] >> np.uint64(32) & mask)
+    return has
+
+
 def _passes(found: np.ndarray, bits: int, bitmap: np.ndarray) -> np.ndarray:
     """The hashes that the filter lets pass."""
-    mask = np.uint64((1 << bits) - 1)
-    for shift in (np.uint64(0), np.uint64(32)):
-        p = found >> shift & mask
-        found = found[bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1) == 1]
-    return found
+    return found[_passing(found, bits, bitmap)]
 
 
 def _sightings(docs: DataFrame, reps: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -368,11 +431,15 @@ def _sightings(docs: DataFrame, reps: DataFrame, wanted: DataFrame, key: str, te
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            hits = [distinct(_passes(runs(t), bits, held.value)).view(np.int64) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "hits": hits})
+            ids, out = frame["id"].tolist(), []
+            for at, found, offsets in grouped(frame["text"].tolist()):
+                where = np.flatnonzero(_passing(found, bits, held.value))
+                cuts = np.searchsorted(where, offsets)
+                out += [(ids[at.start + i], distinct(found[where[cuts[i] : cuts[i + 1]]]).view(np.int64)) for i in np.flatnonzero(np.diff(cuts))]
+            yield pd.DataFrame(out, columns=["id", "hits"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
-    made = by_bytes(rows).mapInPandas(run, "id bigint, hits array<bigint>").where(F.size("hits") > 0)
+    made = by_bytes(rows).mapInPandas(run, "id bigint, hits array<bigint>")
     seen = stash(made.join(reps.select("id", "size"), "id"), "sightings")
     return seen.select(F.col("id").alias("b"), F.col("size").alias("larger"), F.explode("hits").alias("h"))
 
@@ -386,10 +453,9 @@ def _ends(packed: np.ndarray) -> np.ndarray:
     return packed[keep]
 
 
-def _slots(low: np.ndarray, width: int) -> np.ndarray:
-    """Two places of each 32-bit number in a slice of 2^width bits."""
-    shift = np.uint64(32 - width)
-    return np.stack([low >> shift, (low * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)) >> shift])
+def _slots(low: np.ndarray, width: int, which: int) -> np.ndarray:
+    """The first or the second place of each 32-bit number in a slice of 2^width bits."""
+    return (low * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF) if which else low) >> np.uint64(32 - width)
 
 
 def _uneven(rows: DataFrame, total: int) -> tuple[int, int, np.ndarray]:
@@ -411,12 +477,11 @@ def _uneven(rows: DataFrame, total: int) -> tuple[int, int, np.ndarray]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for frame in frames:
-            for t in frame["text"]:
-                found = runs(t)
-                if len(found):
-                    code = np.uint64(math.log(len(distinct(found))) / math.log(SIZE_STEP))
-                    held.append(found >> np.uint64(32 - ranges) << np.uint64(8) | code)
-                    n += len(found)
+            for _, found, offsets in grouped_sets(frame["text"].tolist()):
+                sizes = np.diff(offsets)
+                codes = (np.log(np.maximum(sizes, 1)) / math.log(SIZE_STEP)).astype(np.uint64)
+                held.append(found >> np.uint64(32 - ranges) << np.uint64(8) | np.repeat(codes, sizes))
+                n += len(found)
                 if n >= DEALT:
                     yield deal(held)
                     held, n = [], 0
@@ -428,7 +493,8 @@ def _uneven(rows: DataFrame, total: int) -> tuple[int, int, np.ndarray]:
         found = _ends(low << np.uint64(8) | np.frombuffer(b"".join(frame["codes"]), dtype=np.uint8))
         apart = (found[1:] >> np.uint64(8) == found[:-1] >> np.uint64(8)) & ((found[1:] & np.uint64(255)) - (found[:-1] & np.uint64(255)) >= np.uint64(SIZE_STEPS))
         bits = np.zeros(1 << width, dtype=bool)
-        bits[_slots(found[1:][apart] >> np.uint64(8), width).ravel()] = True
+        for which in (0, 1):
+            bits[_slots(found[1:][apart] >> np.uint64(8), width, which)] = True
         return pd.DataFrame([(frame["r"].iloc[0], np.packbits(bits, bitorder="little").tobytes())] if apart.any() else [], columns=["r", "map"])
 
     parts = by_bytes(rows).mapInPandas(run, "r int, low binary, codes binary").groupBy("r").applyInPandas(fill, "r int, map binary")
@@ -438,12 +504,12 @@ def _uneven(rows: DataFrame, total: int) -> tuple[int, int, np.ndarray]:
     return ranges, width, bitmaps
 
 
-def _in_uneven(found: np.ndarray, ranges: int, width: int, bitmaps: np.ndarray) -> int:
-    """How many of the hashes ``bitmaps`` may hold."""
-    at = found >> np.uint64(64 - ranges)
-    a, b = _slots(found >> np.uint64(32 - ranges) & np.uint64(0xFFFFFFFF), width)
-    has = lambda p: bitmaps[at, p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1)
-    return int(np.count_nonzero(has(a) & has(b)))
+def _in_uneven(found: np.ndarray, ranges: int, width: int, bitmaps: np.ndarray) -> np.ndarray:
+    """Which of the hashes ``bitmaps`` may hold; the second slot is looked up for those that have the first."""
+    at, low, flat = found >> np.uint64(64 - ranges) << np.uint64(width), found >> np.uint64(32 - ranges) & np.uint64(0xFFFFFFFF), bitmaps.reshape(-1)
+    has = _held(flat, at | _slots(low, width, 0))
+    has[has] = _held(flat, at[has] | _slots(low[has], width, 1))
+    return has
 
 
 def _containers(docs: DataFrame, reps: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -465,11 +531,12 @@ def _containers(docs: DataFrame, reps: DataFrame, texts: DataFrame, key: str, te
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for k, t in zip(frame["id"], frame["text"]):
-                found = shingles(t)
-                if len(found) and _in_uneven(found, ranges, width, uneven.value) >= CONTAINMENT * len(found) - 1e-9:
-                    out.append((k, len(found), found.view(np.int64)))
+            ids, out = frame["id"].tolist(), []
+            for at, found, offsets in grouped_sets(frame["text"].tolist()):
+                sizes = np.diff(offsets)
+                inside = np.diff(np.append(0, np.cumsum(_in_uneven(found, ranges, width, uneven.value)))[offsets])
+                for i in np.flatnonzero((sizes > 0) & (inside >= CONTAINMENT * sizes - 1e-9)):
+                    out.append((ids[at.start + i], int(sizes[i]), found[offsets[i] : offsets[i + 1]].view(np.int64)))
             yield pd.DataFrame(out, columns=["id", "size", "hs"])
 
     asks = by_bytes(keyed).mapInPandas(ask, "id bigint, size int, hs array<bigint>").join(reps.select("id", "size").distinct(), ["id", "size"], "left_semi")
@@ -517,9 +584,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", links_too:
     sets = sketches.groupBy("set_hash").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n"))
     reps = sketches.where("size > 0 and key is not null").join(sets.select("id", F.col("set_hash").alias("h")), (F.col("h") == F.col("set_hash")) & (F.col("key") == F.col("id")), "left_semi")
     reps = reps.dropDuplicates(["key", "set_hash"]).withColumnRenamed("key", "id")
-    rows = reps.select("id", "size", F.explode("bands").alias("bucket")).distinct()
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    rows = stash(rows.join(shared, "bucket", "left_semi"), "buckets")
+    # most keys stand in one bucket alone: one shuffle and sort by bucket finds the others
+    rows, mates = reps.select("id", "size", F.explode("bands").alias("bucket")), Window.partitionBy("bucket")
+    rows = rows.withColumn("least", F.min("id").over(mates)).withColumn("most", F.max("id").over(mates)).where("least <> most")
+    rows = stash(rows.select("id", "size", "bucket").distinct(), "buckets")
     near = rows.select("id").distinct()
     plain = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     texts = plain.join(near, "id", "left_semi")

@@ -117,3 +117,38 @@ def test_filter_lets_all_of_its_hashes_pass(spark, monkeypatch, bits):
     other = RNG.integers(0, 2**63, 20000).astype(np.uint64)
     assert n <= bits and len(neardup._passes(held.view(np.uint64), n, bitmap)) == 5000
     assert len(neardup._passes(other, n, bitmap)) < (2000 if bits == 29 else 20001)
+
+
+@pytest.mark.parametrize("group", [1, 40, 1 << 17])
+def test_texts_hashed_together_are_as_each_alone(monkeypatch, group):
+    monkeypatch.setattr(neardup, "GROUP", group)
+    blanks = "".join(chr(i) for i in range(0x110000) if chr(i).isspace())
+    texts = [None, "", " \t", "x", "a b c d e", " a  b\x1fc d e f ", blanks.join("abcdefg"), "é\u2019 ü \u00a1 b\u0085c \u3001 d\u3000e", None, "\x00 \x00\x00 a", "\ud800 b", "a b " * 300, blanks]
+    texts += [" ".join(WORD(int(n))) for n in RNG.integers(1, 60, 20)] + ["e", "a b c d e"]
+    found = list(neardup.sets_of(texts))
+    assert [len(x) for x in found] == [len(tuples(t)) for t in texts]
+    names = {}
+    for t, x in zip(texts, found):
+        assert names.setdefault(frozenset(tuples(t)), x.tobytes()) == x.tobytes() == neardup.shingles(" ".join((t or "").split())).tobytes()
+    assert len(set(names.values())) == len(names)
+    several = np.array([neardup.minhash(x) for x in found if len(x)])
+    assert all(np.array_equal(keys, neardup.band_keys(one, 9)) for one, keys in zip(several, neardup.band_keys(several, 9)))
+
+
+def test_a_check_reads_the_texts_once(spark, tmp_path):
+    base = WORD(50)
+    rows = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(5)] + [(9, " ".join(WORD(50)))]
+    spark.createDataFrame(rows, "id long, text string").write.parquet(f"{tmp_path}/texts")
+    pairs = spark.createDataFrame([(i, 0) for i in (1, 2, 3, 4, 9)] + [(0, 4), (9, 4)], "a long, b long")
+    checked = neardup._check(pairs, spark.read.parquet(f"{tmp_path}/texts"))
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert {(r.a, r.b) for r in checked.collect()} == {(i, 0) for i in (1, 2, 3, 4)} | {(0, 4)}
+
+
+def test_buckets_of_the_same_members_meet_once(spark):
+    members = {1: (10, 11, 12), 2: (10, 11, 12), 3: (10, 11, 13), 4: (20, 21), 5: (10, 11, 12), 6: (20, 22)}
+    rows = spark.createDataFrame([(b, i, 9) for b, ids in members.items() for i in ids], "bucket long, id long, size int")
+    none = spark.createDataFrame([], "bucket long, hub long")
+    labels = spark.createDataFrame([(20, 20), (21, 20)], "id long, label long")
+    left = neardup._mixed_buckets(rows, none, labels).collect()
+    assert {(r.bucket, r.id, r.label) for r in left} == {(b, i, i) for b in (1, 3, 6) for i in members[b]} and len(left) == 8
