@@ -80,13 +80,12 @@ def _(t):
 
 @query("b08_fragment_recall")
 def _(t):
-    """Candidates by cosine above the triage bound, then greedy choice by relevance."""
-    from mnemoloom.operators import knn
-
-    q = t("claims").where("vec_id % 20 = 0").select("user_id", C("claim_id").alias("query"), C("embedding").alias("qvec"))
-    f = t("fragments").where("medoid_idx is not null").select("user_id", C("frag_id").alias("id"), "embedding")
-    c = f.join(q, "user_id").withColumn("weight", knn.similarity(C("qvec"), C("embedding"))).where("weight > 0.15 and concat('clm_', substring(id, 5)) <> query")
-    return P.assemble(R.top_n(c, ["query"], [F.desc("weight"), C("id")], 40).select("query", "id", "embedding", "weight", "qvec"), "query", k=24)
+    """The 40 nearest fragments above the triage bound, the query's own aside, then greedy choice by relevance."""
+    q = t("claims").where("vec_id % 20 = 0").select("user_id", C("claim_id").alias("id"), "embedding")
+    # by the claim's id, so that the search leaves the query's own fragment out
+    f = t("fragments").where("medoid_idx is not null").select("user_id", F.concat(L("clm_"), F.substring("frag_id", 5, 99)).alias("id"), "embedding", "cluster")
+    found = P.assemble_near(P.neighbours(q, f, 40), 40, k=24, least=0.15)
+    return found.withColumn("id", F.concat(L("frg_"), F.substring("id", 5, 99)))
 
 
 @query("b09_background_concepts")
