@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mnemoloom.functions.text import words
 from mnemoloom.operators.knn import top
@@ -71,7 +72,7 @@ def search(docs: DataFrame, queries: DataFrame, key: str, text: str, query_key:
     for term, count in kept.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
         df[term] = count
     idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
-    names = pa.array(list(by_query), pa.from_numpy_dtype("int64") if dict(queries.dtypes)[query_key] == "bigint" else None)
+    names = pa.array(list(by_query), to_arrow_type(queries.schema[query_key].dataType))
     pairs = sorted((wanted[w], q) for q, terms in enumerate(by_query.values()) for w in terms)
     owner, first = np.array([q for _, q in pairs], dtype=np.int64), np.searchsorted([t for t, _ in pairs], np.arange(len(wanted) + 1))
 
